@@ -42,12 +42,13 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
+from .shared_keys import bucket_count, shared_keys
 from .storage import only_near, stored
 
-#: Counters of the sketch (4 MiB) and slices in which it is merged.
-SKETCH, PARTS = 1 << 20, 64
+#: Counters of the sketch (a byte each when broadcast, 8 MiB) and slices in which it is merged.
+SKETCH, PARTS = 1 << 23, 256
 #: Members of a region that is finished in one task.
-TASK_MEMBERS = 256
+TASK_MEMBERS = 2048
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -77,14 +78,13 @@ def _sets_of(batches, words):
 
 
 def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Counts of documents by shingle, modulo ``SKETCH``: bounded whatever the data's size."""
+    """Classes of the counts of documents by shingle, modulo ``SKETCH``: eight classes an octave, bounded whatever the data's size."""
     step = SKETCH // PARTS
 
     def count(batches):
         total = np.zeros(SKETCH, np.uint32)
         for _, sets in _sets_of(batches, words):
-            total += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
-        # few counts of one task are above 255
+            np.add.at(total, (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
         part = [total[i * step : (i + 1) * step] for i in range(PARTS)]
         yield pa.record_batch({"i": pa.array(range(PARTS), pa.int32()), "b": pa.array([_pack(p) for p in part], pa.binary())})
 
@@ -92,13 +92,13 @@ def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
         total = np.zeros(step, np.uint64)
         for b in table.column("b").to_pylist():
             total += _unpack(b)
-        return pa.table({"i": table.column("i")[:1], "b": pa.array([total.astype("<u8").tobytes()], pa.binary())})
+        return pa.table({"i": table.column("i")[:1], "b": pa.array([np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()], pa.binary())})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "i int, b binary").groupBy("i").applyInArrow(merge, "i int, b binary").collect()
-    out = np.zeros(SKETCH, np.uint64)
+    out = np.zeros(SKETCH, np.uint8)
     for r in rows:
-        out[r.i * step : (r.i + 1) * step] = np.frombuffer(bytes(r.b), "<u8")
-    return np.minimum(out, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        out[r.i * step : (r.i + 1) * step] = np.frombuffer(bytes(r.b), np.uint8)
+    return out
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -113,28 +113,31 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), "<u4")
 
 
-def _first_cells(held, words: int, percent: int):
+def _marks(words: int):
+    """Size and 128-bit digest of each document's set."""
+
     def run(batches):
-        sketch = held.value
         for ids, sets in _sets_of(batches, words):
-            size, one, two, cells = [], [], [], []
-            for x in sets:
-                size.append(len(x))
-                one.append(int(np.bitwise_xor.reduce(tokens.mix(x))) if len(x) else 0)
-                two.append(int(np.add.reduce(tokens.mix(x ^ np.uint64(0x5851F42D4C957F2D)))) if len(x) else 0)
-                order = np.lexsort((x, sketch[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                cells.append(tokens.signed(x[order[: _prefix(len(x), percent)]]) if len(x) else np.zeros(0, np.int64))
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(size, pa.int64()), "one": tokens.signed(np.array(one, np.uint64)), "two": tokens.signed(np.array(two, np.uint64)), "cells": pa.array(cells, pa.list_(pa.int64()))})
+            one = [int(np.bitwise_xor.reduce(tokens.mix(x))) if len(x) else 0 for x in sets]
+            two = [int(np.add.reduce(tokens.mix(x ^ np.uint64(0x5851F42D4C957F2D)))) if len(x) else 0 for x in sets]
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "one": tokens.signed(np.array(one, np.uint64)), "two": tokens.signed(np.array(two, np.uint64))})
 
     return run
 
 
-def _set_rows(words: int):
-    def run(batches):
+def _cells(held, words: int, percent: int):
+    """Ids and cells (first shingles in the global order) of documents, as ``shared_keys`` takes them."""
+
+    def emit(batches):
+        sketch = held.value
         for ids, sets in _sets_of(batches, words):
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
+            for i, x in zip(ids, sets, strict=True):
+                if len(x):
+                    order = np.lexsort((x, sketch[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                    cells = x[order[: _prefix(len(x), percent)]]
+                    yield np.full(len(cells), i, np.int64), cells
 
-    return run
+    return emit
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -148,24 +151,35 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def _measure(batches):
-    for batch in batches:
-        inter, union = [], []
-        left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        for a, b in zip(left, right, strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            same = overlap(a, b)
-            inter.append(same)
-            union.append(len(a) + len(b) - same)
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["x", "q", "inter", "all"])
+def _measure(words: int):
+    def run(batches):
+        for batch in tokens.pieces(batches, "left", 1 << 20):
+            inter, union = [], []
+            right = tokens.as_bytes(batch.column(3))
+            for at, held in tokens.slices(tokens.as_bytes(batch.column(2))):
+                near: dict[bytes, np.ndarray] = {}
+                for a, t in zip(shingle_sets(held, words), right[at : at + len(held)], strict=True):
+                    if t not in near:
+                        near = {t: shingle_sets([t], words)[0]}  # rows come sorted by the pivot
+                    b = near[t]
+                    same = overlap(a, b)
+                    inter.append(same)
+                    union.append(len(a) + len(b) - same)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["x", "q", "inter", "all"])
+
+    return run
+
+
+#: Rows of Arrow batches that hold texts of pairs.
+TEXT_ROWS = 500
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, q, inter, all) of each pair, the nearest if an id has several sets."""
-    left = sets.select(F.col("doc_id").alias("x"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("q"), F.col("shingles").alias("right"))
-    rows = pairs.join(left, "x").join(right, "q").select("x", "q", "left", "right").mapInArrow(_measure, "x long, q long, inter long, all long")
-    return stored(rows.groupBy("x", "q").agg(F.max(F.struct((F.col("inter") / F.col("all")).alias("like"), "inter", "all")).alias("m")).select("x", "q", "m.inter", "m.all"), "distances")
+def _distances(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(x, q, inter, all) of each pair, the nearest if an id has several texts.  Texts travel, being smaller than sets."""
+    left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("left"))
+    right = texts.select(F.col("doc_id").alias("q"), F.col("text").alias("right"))
+    rows = pairs.join(left, "x").join(right, "q").select("x", "q", "left", "right").mapInArrow(_measure(words), "x long, q long, inter long, all long")
+    return stored(rows.groupBy("x", "q").agg(F.max(F.struct((F.col("inter") / F.col("all")).alias("like"), "inter", "all")).alias("m")).select("x", "q", "m.inter", "m.all"), "distances", TEXT_ROWS)
 
 
 def settle(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -192,11 +206,11 @@ def settle(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _finish(percent: int):
+def _finish(words: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("x").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)
-        sets = [np.frombuffer(table.column("shingles")[i].as_py(), np.uint64) for i in order]
+        sets = shingle_sets([table.column("text")[i].as_py().encode() for i in order], words)
         found = settle(sets, percent)
         return pa.table({"a": pa.array([ids[order[a]] for a, _ in found], pa.int64()), "b": pa.array([ids[order[b]] for _, b in found], pa.int64())})
 
@@ -213,13 +227,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         raise ValueError("percent must be above 50 and at most 100")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(shingle_sketch(rows, words))
-    base = stored(rows.mapInArrow(_first_cells(sketch, words, percent), "doc_id long, n long, one long, two long, cells array<long>"), "cells")
+    base = stored(rows.mapInArrow(_marks(words), "doc_id long, n long, one long, two long"), "marks")
     # equal sets collapse to their smallest id
     classes = stored(base.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class")), "classes")
-    kept = base.join(classes, ["one", "two", "n"]).where("doc_id = rep")
-    members = kept.select(F.explode("cells").alias("s"), F.col("doc_id").alias("x"), "n")
+    known = rows.where("doc_id is not null and text is not null")
+    cells = shared_keys(known, _cells(sketch, words, percent), bucket_count(docs))
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "n")
+    members = stored(cells.join(reps, "doc_id").select(F.explode("keys").alias("s"), F.col("doc_id").alias("x"), "n"), "members")
     busy = members.groupBy("s").agg(F.min(F.struct("x", "n")).alias("q"), F.max("x").alias("high")).where("q.x < high").select("s", F.col("q.x").alias("q"), F.col("q.n").alias("qn"))
-    state = stored(members.join(busy, "s"), "regions")
+    state = members.join(busy, "s")
 
     # 1 when sizes alone keep a pair within a distance: 100 min >= p max
     within = lambda p: F.least("n", "qn") * 100 >= F.greatest("n", "qn") * p
@@ -227,12 +243,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     wanted = state.where("x <> q").where(within(close)).select("x", "q").distinct()
     wanted = stored(wanted, "pairs")
     ids = wanted.select(F.explode(F.array("x", "q")).alias("doc_id")).distinct()
-    near = only_near(rows.where("doc_id is not null"), ids).join(ids, "doc_id", "left_semi")
-    sets = stored(near.mapInArrow(_set_rows(words), "doc_id long, shingles binary").distinct(), "sets")
+    texts = stored(only_near(known, ids).join(ids, "doc_id", "left_semi"), "texts")
     linked = F.col("inter") * 100 >= F.col("all") * percent
     unsure = F.coalesce(F.col("inter") * 100 >= F.col("all") * close, F.lit(False)) & ~F.coalesce(linked, F.lit(False))
 
-    found = _distances(wanted, sets)
+    found = _distances(wanted, texts, words)
     links = [found.where(linked).select(F.col("x").alias("a"), F.col("q").alias("b"))]
     after = state.where("x <> q").join(found, ["x", "q"], "left").withColumns({"unsure": unsure, "open": ~F.coalesce(linked & ~unsure, F.lit(False))})
     # regions that still have an open member, once for each of two neighbouring size bands
@@ -247,14 +262,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         small = rest.join(sizes.where(F.col("m") <= TASK_MEMBERS).select("s"), "s", "left_semi").select("s", "x")
         # one region of those with the same members is enough
         same = small.groupBy("s").agg(F.array_sort(F.collect_set("x")).alias("xs")).groupBy("xs").agg(F.min("s").alias("s"))
-        extra = _lacking(small, sets, rows, words)
-        links.append(stored(same.select("s", F.explode("xs").alias("x")).join(extra, F.col("x") == F.col("doc_id")).select("s", "x", "shingles").groupBy("s").applyInArrow(_finish(percent), "a long, b long"), "links"))
+        extra = _lacking(small, texts, known)
+        links.append(stored(same.select("s", F.explode("xs").alias("x")).join(extra, F.col("x") == F.col("doc_id")).select("s", "x", "text").groupBy("s").applyInArrow(_finish(words, percent), "a long, b long"), "links"))
         large = sizes.where(F.col("m") > TASK_MEMBERS).select("s", F.col("q.x").alias("q"), F.col("q.n").alias("qn"))
         if large.isEmpty():
             break
         state = rest.join(large, "s").where("x <> q")
         pairs = stored(state.where(within(close)).select("x", "q").distinct(), "pairs")
-        found = _distances(pairs, _lacking(pairs.select(F.explode(F.array("x", "q")).alias("x")), sets, rows, words))
+        found = _distances(pairs, _lacking(pairs.select(F.explode(F.array("x", "q")).alias("x")), texts, known), words)
         links.append(found.where(linked).select(F.col("x").alias("a"), F.col("q").alias("b")))
         hit = state.join(found, ["x", "q"], "left").withColumn("unsure", F.col("unsure") | unsure)
         rest = _live(hit.select("s", "x", "n", (F.col("open") & ~(F.coalesce(linked, F.lit(False)) & ~F.col("unsure"))).alias("open"), "unsure"))
@@ -276,10 +291,10 @@ def _live(rows: DataFrame) -> DataFrame:
     return rows.join(live, "s", "left_semi")
 
 
-def _lacking(needed: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """``sets`` with those of documents that no earlier step has needed (only pairs too far apart in size)."""
-    missing = stored(needed.select(F.col("x").alias("doc_id")).distinct().join(sets, "doc_id", "left_anti"), "missing")
+def _lacking(needed: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``texts`` with those of documents that no earlier step has needed (only pairs too far apart in size)."""
+    missing = stored(needed.select(F.col("x").alias("doc_id")).distinct().join(texts, "doc_id", "left_anti"), "missing")
     if missing.isEmpty():
-        return sets
-    near = only_near(rows.where("doc_id is not null"), missing).join(missing, "doc_id", "left_semi")
-    return stored(sets.unionByName(near.mapInArrow(_set_rows(words), "doc_id long, shingles binary").distinct()), "sets")
+        return texts
+    near = only_near(rows, missing).join(missing, "doc_id", "left_semi")
+    return texts.unionByName(stored(near, "texts"))
