@@ -196,7 +196,7 @@ _sql("tree_order", "SELECT path, row_number() OVER (PARTITION BY k ORDER BY conc
 
 _sql("subject_body", "SELECT doc_id, split_part(text, chr(10), 1) AS subject, length(text) - length(split_part(text, chr(10), 1)) AS body_chars FROM documents")  # 2.10.1, 2.10.2
 _sql("sanitised_subject", "SELECT id, regexp_replace(regexp_replace(message, '[^A-Za-z0-9._]+', '-'), '^-|-$', '') AS slug FROM {commits}", "SELECT id, regexp_replace(regexp_replace(message, '[^A-Za-z0-9._]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM {commits}")  # 2.10.3
-_sql("stripspace", "SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\\\t]+\\\\n', '\\n'), '\\\\n{3,}', '\\n\\n') AS text FROM documents", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g') AS text FROM documents")  # 2.10.11
+_sql("stripspace", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[ \\t]+\\n', '\n'), '\\n\\n\\n+', '\n\n') AS text FROM documents", r"SELECT doc_id, regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g') AS text FROM documents")  # 2.10.11
 _sql("whitespace_check", "SELECT doc_id, n, CASE WHEN line LIKE '% ' THEN 1 ELSE 0 END + CASE WHEN line LIKE ' %' THEN 2 ELSE 0 END AS flags FROM {lines} WHERE line LIKE '% ' OR line LIKE ' %'")  # 2.10.12
 _sql("url_redact", "SELECT page_id, regexp_replace(url, '//[^/@]*@', '//') AS url FROM pages")  # 2.10.21
 _sql("size_units", "SELECT doc_id, CASE WHEN n_chars >= 1024 THEN concat(CAST(CAST(floor(n_chars / 1024) AS BIGINT) AS STRING), ' KiB') ELSE concat(CAST(n_chars AS STRING), ' bytes') END AS size FROM documents")  # 2.12.11
