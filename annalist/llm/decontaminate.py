@@ -158,7 +158,11 @@ def _scan(held, rate: float):
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
-    """``docs`` with ``is_contaminated``, for filtering; scans each block and keeps all columns, with nothing shuffled."""
+    """``docs`` with ``is_contaminated``, for filtering; scans each block and keeps all columns, with nothing shuffled.
+
+    The flag replaces a column of its name.
+    """
+    docs = docs.drop("is_contaminated")
     at = docs.columns.index("text")
     flag = docs.withColumns({"text": F.col("text").cast("string"), "is_contaminated": F.lit(False)})
     from pyspark.sql import types as T

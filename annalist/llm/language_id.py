@@ -249,7 +249,8 @@ def _predictions(model: Model, texts: list[str | None]) -> tuple[list[str], list
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+    """``docs`` with lang_pred and score, which replace columns of these names."""
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index("text")
     held = docs.sparkSession.sparkContext.broadcast(model)
 

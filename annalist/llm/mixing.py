@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 KEY_BINS = 16384
+_ADDED = ("size", "source_size", "target", "epochs", "taken", "_key", "_bin")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -73,8 +74,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
 
     ``quality``: a positive column that scales the keys; by default ``quality_weight``.
     ``columns``: those of ``docs`` to carry along; leave the text out where it isn't needed.
+    Added columns replace those of their names.
     """
-    columns = list(docs.columns if columns is None else columns)
+    docs = docs.drop(*_ADDED)
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in _ADDED]
     rows = docs.withColumn("size", word_count(F.col("text")))
     weight = quality if quality is not None else quality_weight(F.col("text"), F.col("size"))
     rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(weight, F.lit(0.25)))

@@ -238,7 +238,9 @@ def _kept(buf: tokens.Buffer, i: int, spans) -> tuple[int, int, bytes]:
 def substring_dedup(docs: DataFrame, min_words: int = 13) -> DataFrame:
     """The rows of ``docs`` with repeats cut out: texts that lose words become their kept words joined by one space,
     other texts stay as they are.  Adds n_words, n_removed and spans; ``n_chars``, where present, follows the text.
+    Added columns replace those of their names.
     """
+    docs = docs.drop("n_words", "n_removed", "spans")
     spans = stored(matched_spans(docs, min_words), "spans")
     extra = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.shiftrightunsigned(F.xxhash64("text"), 33)})
     joined = extra.join(spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).hint("shuffle_hash"), ["_id", "_th"], "left").select(*[extra[c] for c in docs.columns], "_spans")

@@ -53,7 +53,7 @@ SUPPORT = 0.3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _DROP = bytes(c for c in range(33, 128) if not (65 <= c <= 90 or 97 <= c <= 122))
-_SENTENCE = re.compile(rb"[.!?\n]+")
+_SENTENCE = re.compile(rb"[.!?]+(?=\s)|\n+")
 #: Bit of each letter; non-ASCII bytes share the last bits.
 _BIT = np.array([1 << (c - 97) if 97 <= c <= 122 else 1 << (26 + c % 6) if c >= 0x80 else 0 for c in range(256)], np.uint32)
 
@@ -251,7 +251,12 @@ def fit(texts: list[bytes], toxic: list[bool], seed: int = 3) -> Model:
         positive = np.concatenate([np.array(chosen), extra])
         _hinge(model, positive, negative)
         chosen = [s[np.argmax(model.margin(s))] for s, y in zip(sentences, toxic, strict=True) if y]
-    _calibrate(model, np.array([model.pooled(sentence_features(t, near, m)) for t in texts]), np.array(toxic))
+    whole = np.array([model.pooled(sentence_features(t, near, m)) for t in texts])
+    # landmarks that no clean text holds are sure: one misspelt copy of them makes a text toxic
+    clean = [i for i, y in enumerate(toxic) if not y]
+    sure = whole[clean][:, TOP:-1].max(axis=0) < 0.95
+    alone = np.array([model.pooled([f]) for f, j in zip(extra, (j for j, z in enumerate(marks) for _ in range(1, len(z))), strict=True) if sure[j]]).reshape(-1, whole.shape[1])
+    _calibrate(model, np.concatenate([whole, alone]), np.array([*toxic, *[True] * len(alone)]), np.concatenate([np.ones(TOP, bool), sure]))
     return model
 
 
@@ -274,17 +279,22 @@ def _hinge(model: Model, positive: np.ndarray, negative: np.ndarray, rounds: int
     model.weights, model.bias = mean_w / n, mean_b / n
 
 
-def _calibrate(model: Model, x: np.ndarray, toxic: np.ndarray) -> None:
-    """Logistic regression of the label on the pooled values, by damped Newton steps."""
+def _calibrate(model: Model, x: np.ndarray, toxic: np.ndarray, rising: np.ndarray) -> None:
+    """Logistic regression of the label on the pooled values, by damped Newton steps.
+
+    ``rising``: values that may only raise the score.  A landmark that clean texts hold too may lower it:
+    then one sentence with it isn't enough, but several are.
+    """
     y = toxic * 0.98 + 0.01
     w = np.zeros(x.shape[1])
     w[:TOP] = 0.5
-    ridge = np.full(len(w), 0.2)
+    ridge = np.full(len(w), 0.05)
     ridge[-1] = 1e-3
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
         w = w - 0.7 * np.linalg.solve(hess, x.T @ (p - y) + ridge * w)
+        w[:-1][rising] = np.maximum(w[:-1][rising], 0.0)
     model.pool = w
 
 
