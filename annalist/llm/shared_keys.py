@@ -15,6 +15,7 @@ its fold; callers verify what they find.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,34 +42,53 @@ def fold(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (keys >> _HIGH) % np.uint64(buckets) << _HIGH | keys & _LOW
 
 
-def _pack(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def _pack(keys: np.ndarray, width: int = 6) -> np.ndarray:
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _unpack(raw: bytes, width: int = 6) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return out.reshape(-1).view("<u8")
 
 
+def _gathered(rows: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Tuples of equally long arrays, joined until they hold ``FLUSH`` entries."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[0])
+        if size >= FLUSH:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
 def _flushes(emit: Emit, batches, buckets: int):
-    ids, keys, held = [], [], 0
-    for i, k in emit(batches):
-        ids.append(np.asarray(i, np.int64))
-        keys.append(fold(k, buckets))
-        held += len(k)
-        if held >= FLUSH:
-            yield np.concatenate(ids), np.concatenate(keys)
-            ids, keys, held = [], [], 0
-    if held:
-        yield np.concatenate(ids), np.concatenate(keys)
+    return _gathered((np.asarray(i, np.int64), fold(k, buckets)) for i, k in emit(batches))
 
 
 def _by_bucket(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, their offsets in sorted keys)."""
-    high = (keys >> _HIGH).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], high[1:] != high[:-1]]))
-    return high[first], np.append(first, len(keys))
+    return _runs((keys >> _HIGH).astype(np.int64))
+
+
+def _runs(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, their offsets) of sorted buckets."""
+    first = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+    return buckets[first], np.append(first, len(buckets))
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Integers as differences, byte planes apart, compressed: about a byte for each of slowly growing ones."""
+    steps = np.diff(x, prepend=np.int64(0))
+    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _stretch(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.int64))
 
 
 def shared_keys(rows: DataFrame, emit: Emit, buckets: int) -> DataFrame:
@@ -121,3 +141,80 @@ def shared_keys(rows: DataFrame, emit: Emit, buckets: int) -> DataFrame:
     blobs = rows.mapInArrow(sent, "b int, raw binary, ids binary")
     found = blobs.join(shared, "b").select("b", "raw", "ids", "shared").mapInArrow(hits, "doc_id long, keys array<long>")
     return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+
+
+#: Yields (document ids, parts, keys) for Arrow batches of rows with places.
+EmitPlaces = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+#: Bytes kept of a key whose bucket is known.
+PLACE_KEY = 7
+
+
+def first_holders(rows: DataFrame, emit: EmitPlaces, buckets: int) -> DataFrame:
+    """(doc_id, part, ref_id, ref_part), distinct: each place (doc_id, part), and the first place of a key of it,
+    where that is a place of a smaller document.
+
+    The first table holds one packed row a bucket: the first place of each key that several documents have.  A
+    task sends a key once a flush, so a key of very many places weighs one entry a flush.  All places then meet
+    the table in an equi-join of one row a bucket, which AQE splits.
+    """
+    kind = "b int, keys binary, ids binary, parts binary"
+
+    def blobs(ids, parts, keys, *more):
+        bucket = ((keys >> _HIGH) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((parts, ids, bucket))
+        at, cut = _runs(bucket[order])
+        spans = [order[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
+        columns = {
+            "b": pa.array(at),
+            "keys": pa.array([_pack(keys[o], PLACE_KEY).tobytes() for o in spans], pa.binary()),
+            "ids": pa.array([_squeeze(ids[o]) for o in spans], pa.binary()),
+            "parts": pa.array([_squeeze(parts[o]) for o in spans], pa.binary()),
+        }
+        return pa.record_batch(columns | {f"more{i}": pa.array([np.packbits(x[o]).tobytes() for o in spans], pa.binary()) for i, x in enumerate(more)})
+
+    def held(row):
+        keys = _unpack(row["keys"], PLACE_KEY)
+        return _stretch(row["ids"]), _stretch(row["parts"]), keys
+
+    def seen(batches):
+        for ids, parts, keys in _gathered(emit(batches)):
+            order = np.lexsort((parts, ids, keys))
+            ids, parts, keys = ids[order], parts[order], keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            last = np.append(first[1:], len(keys)) - 1
+            yield blobs(ids[first], parts[first], keys[first], ids[first] != ids[last])
+
+    def merge(table: pa.Table) -> pa.Table:
+        got = [(*held(row), row["more0"]) for row in table.to_pylist()]
+        several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(k)] for _, _, k, m in got]).astype(bool)
+        ids, parts, keys = (np.concatenate([g[i] for g in got]) for i in range(3))
+        order = np.lexsort((parts, ids, keys))
+        ids, parts, keys, several = ids[order], parts[order], keys[order], several[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        last = np.append(first[1:], len(keys)) - 1
+        keep = first[np.logical_or.reduceat(several, first) | (ids[first] != ids[last])]
+        keep = keep[np.lexsort((parts[keep], ids[keep]))]  # in the order of places, which squeezes well
+        n = 1 if len(keep) else 0
+        return pa.table({"b": table.column("b")[:n], "keys": pa.array([_pack(keys[keep], PLACE_KEY).tobytes()][:n], pa.binary()), "ids": pa.array([_squeeze(ids[keep])][:n], pa.binary()), "parts": pa.array([_squeeze(parts[keep])][:n], pa.binary())})
+
+    def sent(batches):
+        for places in _gathered(emit(batches)):
+            yield blobs(*places)
+
+    def ask(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                ids, parts, keys = held(row)
+                have = _unpack(row["ref_keys"], PLACE_KEY)
+                order = np.argsort(have)
+                have, ref_ids, ref_parts = have[order], _stretch(row["ref_ids"])[order], _stretch(row["ref_parts"])[order]
+                at = np.searchsorted(have, keys)
+                at[at == len(have)] = 0
+                good = (have[at] == keys) & (ref_ids[at] < ids)
+                found = np.unique(np.stack([ids[good], parts[good], ref_ids[at[good]], ref_parts[at[good]]], axis=1), axis=0)
+                yield pa.record_batch([pa.array(np.ascontiguousarray(found[:, j])) for j in range(4)], ["doc_id", "part", "ref_id", "ref_part"])
+
+    first = stored(rows.mapInArrow(seen, f"{kind}, more0 binary").groupBy("b").applyInArrow(merge, kind), "first-places")
+    first = first.select("b", F.col("keys").alias("ref_keys"), F.col("ids").alias("ref_ids"), F.col("parts").alias("ref_parts"))
+    return rows.mapInArrow(sent, kind).join(first, "b").mapInArrow(ask, "doc_id long, part long, ref_id long, ref_part long").distinct()

@@ -7,10 +7,10 @@ a smaller id.
 1. *Anchors.*  Of the ``k``-word hashes inside each window the smallest is the
    window's anchor, so equal windows have equal anchors and a document has about
    ``2 / (min_words - k + 2)`` anchors a word.  Anchors of a single document are
-   dropped by a pre-aggregated ``groupBy`` and a join (AQE splits hot anchors).
-2. *Passages.*  Runs of windows whose anchor is shared are cut out.  A
-   pre-aggregated ``groupBy`` over their window hashes routes each passage to
-   the first passage that has the window.
+   dropped (``shared_keys``: packed, pre-aggregated, AQE splits hot buckets).
+2. *Passages.*  Runs of windows whose anchor is shared are cut out.  Their window
+   hashes route each passage to the first passage that has the window
+   (``first_holders``: packed and pre-aggregated likewise).
 3. *Automata.*  Passages meet their reference passages in an equi-join.  Each
    task builds the suffix automaton of a reference passage once, streams the
    document passages through it for matching statistics, and returns the spans
@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .shared_keys import bucket_count, first_holders, fold, shared_keys
 from .storage import only_near, stored
 
 #: Words of an anchor.
@@ -132,7 +133,9 @@ def _windows(buf: tokens.Buffer, width: int, k: int):
 
 
 def _anchors(width: int, k: int):
-    def run(batches):
+    """Ids and anchors of documents, as ``shared_keys`` takes them."""
+
+    def emit(batches):
         for batch in tokens.pieces(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, held in tokens.slices(tokens.as_bytes(batch.column(1))):
@@ -140,59 +143,75 @@ def _anchors(width: int, k: int):
                 new = np.ones(len(anchor), bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
                 new &= inside
-                yield pa.record_batch({"key": tokens.signed(anchor[new]), "doc_id": ids[at + text[new]]})
+                yield ids[at + text[new]], anchor[new]
 
-    return run
+    return emit
 
 
-def _passages(width: int, k: int):
+def _passages(width: int, k: int, buckets: int):
     def run(batches):
         for batch in tokens.pieces(batches):
-            ids, parts, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            rows: dict[str, list] = {"doc_id": [], "part": [], "words": [], "windows": []}
+            ids, ths, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            rows: dict[str, list] = {"doc_id": [], "th": [], "part": [], "words": []}
             for at, held in tokens.slices(tokens.as_bytes(batch.column(2))):
                 buf = tokens.Buffer(held)
-                h, anchor, inside, _ = _windows(buf, width, k)
-                full = tokens.grams(h, width)
+                anchor = tokens.signed(fold(_windows(buf, width, k)[1], buckets))
                 for i in range(len(held)):
                     a, b = buf.first[i], buf.first[i + 1] - width + 1
                     if b <= a:
                         continue
-                    near = np.isin(tokens.signed(anchor[a:b]), np.asarray(keys[at + i], np.int64))
+                    near = np.isin(anchor[a:b], np.asarray(keys[at + i], np.int64))
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], near, [False]])))
                     for s, e in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
                         rows["doc_id"].append(ids[at + i])
-                        rows["part"].append(int(parts[at + i]) << 32 | s)
+                        rows["th"].append(ths[at + i])
+                        rows["part"].append(s)
                         rows["words"].append(b" ".join(buf.words(a + s, a + e + width - 1)))
-                        rows["windows"].append(tokens.signed(np.unique(full[a + s : a + e])))
-            yield pa.record_batch([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["part"], pa.int64()), pa.array(rows["words"], pa.binary()), pa.array(rows["windows"], pa.list_(pa.int64()))], ["doc_id", "part", "words", "windows"])
+            yield pa.record_batch([*(pa.array(rows[c], pa.int64()) for c in ("doc_id", "th", "part")), pa.array(rows["words"], pa.binary())], list(rows))
 
     return run
 
 
+def _places(width: int):
+    """Places and hashes of the windows of passages, as ``first_holders`` takes them."""
+
+    def emit(batches):
+        for batch in tokens.pieces(batches, "words"):
+            ids, parts = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for at, held in tokens.slices(batch.column(2).to_pylist()):
+                buf = tokens.Buffer(held)
+                full = tokens.grams(buf.hashes(), width)
+                text = np.repeat(np.arange(len(held)), np.diff(buf.first))
+                inside = text[: len(full)] == text[width - 1 :]
+                row = at + text[: len(full)][inside]
+                yield ids[row], parts[row], full[inside]
+
+    return emit
+
+
 #: Words of reference passages whose automata a task keeps.
 CACHE_WORDS = 60_000
 
 
 def _ask(width: int):
     def run(batches):
-        cache: OrderedDict[tuple[int, int], SuffixAutomaton] = OrderedDict()
+        cache: OrderedDict[tuple[int, int, int], SuffixAutomaton] = OrderedDict()
         held = 0
         for batch in batches:
             out = {"doc_id": [], "th": [], "start": [], "end": []}
-            ids, parts, ref_ids, ref_parts = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            for i, key in enumerate(zip(ref_ids, ref_parts, strict=True)):
+            ids, ths, parts, ref_ids, ref_ths, ref_parts = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
+            for i, key in enumerate(zip(ref_ids, ref_ths, ref_parts, strict=True)):
                 if key not in cache:
-                    ref = batch.column(5)[i].as_py().split(b" ")
+                    ref = batch.column(7)[i].as_py().split(b" ")
                     cache[key] = SuffixAutomaton([ref])
                     held += len(cache[key].next)
                     while held > CACHE_WORDS and len(cache) > 1:
                         held -= len(cache.popitem(last=False)[1].next)
-                for a, b in cache[key].spans(batch.column(2)[i].as_py().split(b" "), width):
+                for a, b in cache[key].spans(batch.column(3)[i].as_py().split(b" "), width):
                     out["doc_id"].append(ids[i])
-                    out["th"].append(parts[i] >> 32)
-                    out["start"].append(a + (parts[i] & 0xFFFFFFFF))
-                    out["end"].append(b + (parts[i] & 0xFFFFFFFF))
+                    out["th"].append(ths[i])
+                    out["start"].append(a + parts[i])
+                    out["end"].append(b + parts[i])
             yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     return run
@@ -209,18 +228,16 @@ def matched_spans(docs: DataFrame, min_words: int = 13) -> DataFrame:
         raise ValueError("min_words must be positive")
     k = min(ANCHOR_WORDS, min_words)
     rows = _keyed(docs).where("doc_id is not null and text is not null")
-    anchors = rows.select("doc_id", "text").mapInArrow(_anchors(min_words, k), "key long, doc_id long")
-    shared = anchors.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    mine = stored(anchors.join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "anchors")
-    near = only_near(rows, mine).join(mine.hint("shuffle_hash"), "doc_id").select("doc_id", "th", "text", "keys")
-    passages = stored(near.mapInArrow(_passages(min_words, k), "doc_id long, part long, words binary, windows array<long>"), "passages")
-
-    windows = passages.select("doc_id", "part", F.explode("windows").alias("w"))
-    first = windows.groupBy("w").agg(F.min(F.struct("doc_id", "part")).alias("ref"), F.max("doc_id").alias("high")).where("ref.doc_id < high").select("w", "ref")
-    pairs = windows.join(first, "w").where("ref.doc_id < doc_id").select("doc_id", "part", F.col("ref.doc_id").alias("ref_id"), F.col("ref.part").alias("ref_part")).distinct()
-    words = passages.select("doc_id", "part", "words").distinct()
-    refs = words.select(F.col("doc_id").alias("ref_id"), F.col("part").alias("ref_part"), F.col("words").alias("ref_words"))
-    asked = pairs.join(words, ["doc_id", "part"]).join(refs, ["ref_id", "ref_part"]).select("doc_id", "part", "words", "ref_id", "ref_part", "ref_words")
+    buckets = bucket_count(docs)
+    mine = stored(shared_keys(rows.select("doc_id", "text"), _anchors(min_words, k), buckets), "anchors")
+    # the join leaves rows of one id together, so rows that repeat id and text go without a shuffle
+    near = only_near(rows, mine).join(mine.hint("shuffle_hash"), "doc_id").select("doc_id", "th", "text", "keys").dropDuplicates(["doc_id", "th"])
+    words = stored(near.mapInArrow(_passages(min_words, k, buckets), "doc_id long, th long, part long, words binary"), "passages")
+
+    # texts that share an id share its places: more automata are asked, none less
+    pairs = stored(first_holders(words.select("doc_id", "part", "words"), _places(min_words), buckets), "pairs")
+    refs = words.select(F.col("doc_id").alias("ref_id"), F.col("th").alias("ref_th"), F.col("part").alias("ref_part"), F.col("words").alias("ref_words"))
+    asked = pairs.join(words, ["doc_id", "part"]).join(refs, ["ref_id", "ref_part"]).select("doc_id", "th", "part", "words", "ref_id", "ref_th", "ref_part", "ref_words")
     spans = asked.mapInArrow(_ask(min_words), "doc_id long, th long, start long, end long").distinct()
     return spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
