@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Drops a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,18 +32,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    ``batch_rows``: rows of the Arrow batches that Python sees while this is
+    The shuffle files of the write go as it ends, since nothing reads them again; while it
+    runs they serve retries.  ``batch_rows``: rows of the Arrow batches that Python sees while this is
     written, for rows that may be large.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    old = spark.conf.get(_BATCH)
+    changes = {_CLEANUP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+    old = {name: spark.conf.get(name) for name in changes}
     try:
-        if batch_rows:
-            spark.conf.set(_BATCH, str(batch_rows))
+        for name, value in changes.items():
+            spark.conf.set(name, value)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_BATCH, old)
+        for name, value in old.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
