@@ -182,27 +182,55 @@ def _distances(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return stored(rows.groupBy("x", "q").agg(F.max(F.struct((F.col("inter") / F.col("all")).alias("like"), "inter", "all")).alias("m")).select("x", "q", "m.inter", "m.all"), "distances", TEXT_ROWS)
 
 
+#: Shingles of all sets that ``overlaps`` lays end to end (32 MiB of numbers); longer sets are compared one by one.
+FLAT_SHINGLES = 1 << 22
+
+
+def overlaps(sets: list[np.ndarray]):
+    """A function of an index and a mask: sizes of that set's intersections with the sets of the mask (others: any value)."""
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
+    if ends[-1] > FLAT_SHINGLES:
+
+        def one_by_one(q: int, near: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(sets), np.int64)
+            for x in np.flatnonzero(near):
+                out[x] = overlap(sets[x], sets[q])
+            return out
+
+        return one_by_one
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    at, marked, total = at.astype(np.int32), np.zeros(len(values), bool), np.zeros(len(at) + 1, np.int64)
+
+    def at_once(q: int, near: np.ndarray) -> np.ndarray:
+        own = at[ends[q] : ends[q + 1]]
+        marked[own] = True
+        np.cumsum(marked[at], out=total[1:])
+        marked[own] = False
+        return total[ends[1:]] - total[ends[:-1]]
+
+    return at_once
+
+
 def settle(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect what is connected among ``sets`` (indexes), by the pivot recursion of this module."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
+    n, close = len(sets), 2 * percent - 100
+    size = np.array([len(s) for s in sets], np.int64)
     open_, unsure, links = np.ones(n, bool), np.zeros(n, bool), []
+    if not n:
+        return links
+    shared = overlaps(sets)
     for q in range(n):
         if not open_[q]:
             continue
         open_[q] = False
-        for x in np.flatnonzero(np.arange(n) != q):
-            low, high = sorted((int(size[x]), int(size[q])))
-            if 100 * low < (2 * percent - 100) * high:
-                continue  # more than 2r away by size alone
-            same = overlap(sets[x], sets[q])
-            union = low + high - same
-            if 100 * same >= percent * union:
-                links.append((int(x), q))
-                if not unsure[x]:
-                    open_[x] = False
-            elif 100 * same >= (2 * percent - 100) * union:
-                unsure[x] = True
+        near = 100 * np.minimum(size, size[q]) >= close * np.maximum(size, size[q])  # else more than 2r away by size alone
+        near[q] = False
+        same = shared(q, near)
+        union = size + size[q] - same
+        linked = near & (100 * same >= percent * union)
+        links += [(x, q) for x in np.flatnonzero(linked).tolist()]
+        open_[linked & ~unsure] = False
+        unsure |= near & ~linked & (100 * same >= close * union)
     return links
 
 
