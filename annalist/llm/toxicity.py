@@ -9,13 +9,16 @@ removed; runs of three or more one-letter words are one word), whitened by the
 landmarks' kernel matrix (Nystrom), and scored by a linear SVM that is trained
 on labelled sentences: a toxic text's positive sentence is its highest-scoring one
 (re-chosen each round), all sentences of the others are negative, and misspelt
-copies of the landmarks (one inserted character) are added as positives.  A
+copies of the landmarks (one character inserted or dropped) are added as positives.  A
 text's score is a logistic function of its ``TOP`` highest sentences and of its
 highest value with each landmark, since some landmarks are surer than others.
 
-Support condition: the kernel with a landmark counts as 0 for words that lack one
-of the landmark's letters, or where it is below ``SUPPORT`` of the landmark's own.  Insertions and gaps keep all letters, and almost all
-words are settled by a vectorised test of letter sets.
+Support condition: the kernel with a landmark counts as 0 where it is below
+``SUPPORT`` of the landmark's own.  Words with dropped, masked or replaced letters
+(``stpid``, ``cl*wn``) are kept by that like others: ``reachable`` leaves out only
+words whose letter sets show that they stay below it.  A sentence's value with a
+landmark is the square of how far the kernel is above the landmark's floor, which
+the clean texts of the training sample set (``chance``).
 
 The training sample is bounded by ``TRAIN_ROWS`` labelled rows a class and
 ``TRAIN_BYTES`` a text.  Its ids are found on the narrow label table and only
@@ -31,6 +34,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +96,21 @@ def letters(words: list[bytes]) -> np.ndarray:
     return np.bitwise_or.reduceat(_BIT[np.frombuffer(b"".join(words), np.uint8)], first)
 
 
+def shared_letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of letters of each word, and of those that stand in it more than once; ``words`` by length."""
+    have = np.zeros(len(words), np.uint32)
+    twice = np.zeros(len(words), np.uint32)
+    for i in range(0, len(words), 4096):
+        x = _padded(words[i : i + 4096])
+        seen, again = np.zeros(len(x), np.uint32), np.zeros(len(x), np.uint32)
+        for c in range(1, x.shape[1]):
+            bit = _BIT[x[:, c]]
+            again |= seen & bit
+            seen |= bit
+        have[i : i + 4096], twice[i : i + 4096] = seen, again
+    return have, twice
+
+
 def _padded(words: list[bytes]) -> np.ndarray:
     width = max(map(len, words)) + 1
     return np.frombuffer(b"".join((START + w).ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)
@@ -132,6 +152,36 @@ def kernel(a: list[bytes], z: bytes) -> np.ndarray:
     return out
 
 
+@lru_cache(256)
+def _most(z: bytes) -> tuple[list[int], np.ndarray]:
+    """Bits of the letters of ``z``, and for each set of them the largest raw kernel with ``z`` of a word that shares just these, each once.
+
+    Such a word holds a subsequence of ``z`` once at most, with ``ORDER`` letters that are next to each other at best.
+    """
+    bits = sorted({int(_BIT[c]) for c in z})
+    at = [None, *(bits.index(int(_BIT[c])) for c in z)]  # every word holds START
+    sets = np.arange(1 << len(bits))
+    most = np.zeros(len(sets))
+    for places in combinations(range(len(at)), ORDER):
+        held = [at[i] for i in places if at[i] is not None]
+        if len(set(held)) == len(held):
+            need = sum(1 << b for b in held)
+            most[(sets & need) == need] += DECAY ** (places[-1] - places[0] + 1)
+    return bits, most * DECAY**ORDER
+
+
+def reachable(have: np.ndarray, twice: np.ndarray, z: bytes) -> np.ndarray:
+    """Which words may reach ``SUPPORT`` with ``z``: none that does is left out."""
+    bits, most = _most(z)
+    shared = np.zeros(len(have), np.int32)
+    for k, b in enumerate(bits):
+        shared |= ((have & np.uint32(b)) != 0).astype(np.int32) << k
+    y = _padded([z])
+    # a little less than SUPPORT, as kernels are summed in single precision
+    enough = most[shared] >= 0.999 * SUPPORT * raw_kernel(y, y)[0]
+    return enough | ((twice & letters([z])[0]) != 0)
+
+
 @dataclass
 class Model:
     landmarks: list[bytes]
@@ -139,20 +189,29 @@ class Model:
     weights: np.ndarray
     bias: float
     pool: np.ndarray  # weights of what ``pooled`` returns
+    floor: np.ndarray  # of each landmark: up to here kernel values count as chance
+
+    def above(self, values: np.ndarray) -> np.ndarray:
+        """Kernel values as shares of the way from the floor to 1."""
+        return np.maximum(values - self.floor, 0.0) / (1.0 - self.floor)
 
     def values(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
         """Kernel values with all landmarks of the words that have any."""
-        have = letters(words)
+        words = sorted(words, key=len)  # words of a call to the kernel are padded to the longest
+        have, twice = shared_letters(words)
         out: dict[bytes, np.ndarray] = {}
         for j, z in enumerate(self.landmarks):
-            need = letters([z])[0]
-            near = [words[i] for i in np.flatnonzero((have & need) == need)]
+            near = [words[i] for i in np.flatnonzero(reachable(have, twice, z))]
             for i in range(0, len(near), 2048):
                 for w, v in zip(near[i : i + 2048], kernel(near[i : i + 2048], z).tolist(), strict=True):
                     if v > 0:
                         out.setdefault(w, np.zeros(len(self.landmarks)))[j] = v
         return out
 
+    def features(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
+        """Squared shares above the floor, with all landmarks, of the words that have any."""
+        return {w: self.above(v) ** 2 for w, v in self.values(words).items() if (v > self.floor).any()}
+
     def margin(self, features: np.ndarray) -> np.ndarray:
         return features @ self.whiten @ self.weights + self.bias
 
@@ -169,7 +228,7 @@ class Model:
         if not self.landmarks:
             return [0.0] * len(texts)
         words = [words_of(t or b"") for t in texts]
-        near = self.values(list(set().union(*words)))
+        near = self.features(list(set().union(*words)))
         tops = [self.pooled([] if near.keys().isdisjoint(ws) else sentence_features(t, near, len(self.landmarks))) for t, ws in zip(texts, words, strict=True)]
         return self.probability(np.array(tops)).tolist() if tops else []
 
@@ -233,16 +292,19 @@ def fit(texts: list[bytes], toxic: list[bool], seed: int = 3) -> Model:
     marks = choose_landmarks([b for b, y in zip(bags, toxic, strict=True) if y], [b for b, y in zip(bags, toxic, strict=True) if not y])
     m = len(marks)
     if not m or all(toxic) or not any(toxic):
-        return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, np.zeros(0))
+        return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, np.zeros(0), np.zeros(0))
+    model = Model(marks, np.eye(m), np.zeros(m), 0.0, np.zeros(0), np.zeros(m))
+    model.floor = chance(model, [b for b, y in zip(bags, toxic, strict=True) if not y])
     gram = np.stack([kernel(marks, z) for z in marks])
+    gram = model.above(np.maximum(gram, gram.T))
     gram = np.maximum(gram, gram.T)
     value, vector = np.linalg.eigh(gram + 1e-6 * np.eye(m))
-    model = Model(marks, vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T, np.zeros(m), 0.0, np.zeros(0))
-    near = model.values(sorted(set().union(*bags)))
+    model.whiten = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
+    near = model.features(sorted(set().union(*bags)))
     sentences = [np.unique(np.array(sentence_features(t, near, m)), axis=0) for t in texts]
-    misspelt = [z[:i] + bytes([97 + int(rng.integers(26))]) + z[i:] for z in marks for i in range(1, len(z))]
+    misspelt = [z[:i] + b + z[i + cut :] for z in marks for i in range(1, len(z)) for b, cut in ((bytes([97 + int(rng.integers(26))]), 0), (b"", 1))]
     extra = np.zeros((len(misspelt), m))
-    known = model.values(misspelt)
+    known = model.features(misspelt)
     for i, w in enumerate(misspelt):
         extra[i] = known.get(w, extra[i])
     negative = np.unique(np.concatenate([s for s, y in zip(sentences, toxic, strict=True) if not y]), axis=0)
@@ -255,11 +317,22 @@ def fit(texts: list[bytes], toxic: list[bool], seed: int = 3) -> Model:
     # landmarks that no clean text holds are sure: one misspelt copy of them makes a text toxic
     clean = [i for i, y in enumerate(toxic) if not y]
     sure = whole[clean][:, TOP:-1].max(axis=0) < 0.95
-    alone = np.array([model.pooled([f]) for f, j in zip(extra, (j for j, z in enumerate(marks) for _ in range(1, len(z))), strict=True) if sure[j]]).reshape(-1, whole.shape[1])
+    alone = np.array([model.pooled([f]) for f, j in zip(extra, (j for j, z in enumerate(marks) for _ in range(2 * len(z) - 2)), strict=True) if sure[j]]).reshape(-1, whole.shape[1])
     _calibrate(model, np.concatenate([whole, alone]), np.array([*toxic, *[True] * len(alone)]), np.concatenate([np.ones(TOP, bool), sure]))
     return model
 
 
+def chance(model: Model, clean: list[set[bytes]]) -> np.ndarray:
+    """Of each landmark: the square of the kernel value that one in a hundred of the clean texts that don't hold it exceeds.
+
+    The square leaves landmarks whose neighbours are frequent most of their range.
+    """
+    near = model.values(sorted(set().union(*clean)))
+    none = np.zeros(len(model.landmarks))
+    highest = np.array([np.max([none, *(near[w] for w in b if w in near)], axis=0) ** 2 for b in clean])
+    return np.array([np.quantile(v[v < 0.95], 0.99) if (v < 0.95).any() else 0.0 for v in highest.T])
+
+
 def _hinge(model: Model, positive: np.ndarray, negative: np.ndarray, rounds: int = 1500, c: float = 500.0) -> None:
     """Linear SVM on whitened features by full subgradient steps; the classes weigh the same."""
     x = np.concatenate([positive, negative]) @ model.whiten

@@ -171,6 +171,32 @@ def test_toxicity_learns(spark):
     assert toxicity.train(docs, labels.limit(0)).scores([b"x"]) == [0.0]
 
 
+def test_toxicity_reads_words_that_lack_letters():
+    marks = [b"stupid", b"clown", b"moron", b"disgusting", "réeux".encode()]
+    model = toxicity.Model(marks, np.eye(5), np.zeros(5), 0.0, np.zeros(9), np.zeros(5))
+    rng = random.Random(2)
+    words = toxicity.words_of(b"st*pid cl*wn stup1d stepid m*ron disg*sting")
+    words += ["".join(rng.choices("stupidclownré", k=rng.randint(2, 14))).encode() for _ in range(3000)]
+    words += [z[:i] + c + z[i + n :] for z in marks for i in range(len(z)) for n, c in ((1, b""), (1, b"e"), (2, b""), (0, z[i : i + 1] * 3))]
+    words = sorted(set(words) - {b""})
+    got = model.values(words)
+    for j, z in enumerate(marks):
+        want = toxicity.kernel(words, z)  # of all words, without a filter
+        assert [got[w][j] if w in got else 0.0 for w in words] == pytest.approx(list(want), rel=1e-4)
+    assert got[b"stpid"][0] > 0.5 and got[b"clwn"][1] > 0.5 and got[b"disgsting"][3] > 0.75
+    assert sum(toxicity.reachable(*toxicity.shared_letters(words), z).sum() for z in marks) < 5 * len(words)
+
+
+def test_toxicity_finds_dropped_and_masked_letters():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choices("aeinrst", k=rng.randint(2, 7)))
+    sentence = lambda bad=None: " ".join([*(word() for _ in range(8)), *([bad] if bad else []), word()]) + ". "
+    rows = [("".join(sentence(rng.choice(["stupid", "clown"]) if i % 3 == 0 and k < 2 else None) for k in range(5)).encode(), i % 3 == 0) for i in range(300)]
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    plain, *odd = model.scores([b"quite fine.", b"you st*pid man", b"a stpid thing", b"a cl*wn", b"stup1d"])
+    assert plain < 0.5 and min(odd) > 0.5, (plain, odd, model.landmarks)
+
+
 # --- 4 ---------------------------------------------------------------------------------------
 
 
