@@ -82,7 +82,8 @@ _sql("ref_transaction", "SELECT r.name, r.id AS old_id, r.id + 1 AS new_id, CASE
 _sql("log_format", "SELECT id, concat(substr(oid, 1, 7), ' ', CAST(day AS STRING), ' <', CAST(author AS STRING), '> ', message) AS line FROM {commits}")  # 2.3.1, 2.3.2
 _sql("ref_format_conditional", "SELECT name, CASE WHEN name LIKE 'refs/tags/%' THEN concat('tag ', substr(name, 11)) ELSE concat('branch ', substr(name, 12)) END AS shown FROM {refs}")  # 2.3.4, 2.3.5, 2.3.18
 _sql("align_atom", "SELECT name, rpad(name, 24, ' ') AS padded_left, lpad(name, 24, ' ') AS padded_right FROM {refs}")  # 2.3.6, 2.3.10
-_sql("shell_quote", "SELECT doc_id, concat('''', replace(substr(text, 1, 80), '''', '''\\\\'''''), '''') AS quoted FROM documents", "SELECT doc_id, concat('''', replace(substr(text, 1, 80), '''', '''\\'''''), '''') AS quoted FROM documents")  # 2.3.8
+_sql("shell_quote", "SELECT doc_id, concat('''', replace(substr(text, 1, 80), '''', '''\\\\'''''), '''') AS quoted FROM documents", "SELECT doc_id, concat('''', replace(substr(text, 1, 80), '''', '''\\'''''), '''') AS quoted FROM documents")  # a preview of 80 characters; 2.3.8 is shell_quote_whole
+_sql("shell_quote_whole", "SELECT doc_id, concat('''', replace(coalesce(text, ''), '''', '''\\\\'''''), '''') AS quoted FROM documents", "SELECT doc_id, '''' || array_to_string(string_split(coalesce(text, ''), ''''), '''\\''''') || '''' AS quoted FROM documents")  # 2.3.8
 _LCP = " ".join(f"WHEN substr(a, 1, {n}) <> substr(b, 1, {n}) THEN {n}" for n in range(1, 13))
 _sql("oid_abbrev", f"""
 SELECT oid, substr(oid, 1, greatest(4, greatest(p, q))) AS abbrev FROM (
