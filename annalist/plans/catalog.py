@@ -170,7 +170,12 @@ _sql("notes_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS annotated, CASE WHEN
 # --- 2.6 aggregates --------------------------------------------------------------------------
 
 _sql("shortlog", "SELECT u.c_name AS author, count(*) AS n, min(c.id) AS first, max(c.id) AS last FROM {commits} c JOIN customer u ON c.author = u.c_custkey GROUP BY u.c_name")  # 2.6.1
-_sql("shortlog_numbered", "SELECT author, n FROM (SELECT author, count(*) AS n FROM {commits} GROUP BY author) s ORDER BY n DESC, author LIMIT 20")  # 2.6.2
+_sql("shortlog_numbered", "SELECT author, n FROM (SELECT author, count(*) AS n FROM {commits} GROUP BY author) s ORDER BY n DESC, author LIMIT 20")  # a top 20; 2.6.2 is shortlog_numbered_all
+# ranks: rows of greater counts, then of lower buckets of authors, then inside the bucket, so no window holds all authors
+_sql("shortlog_numbered_all", """
+WITH s AS (SELECT author, floor(author / 1000) AS part, count(*) AS n FROM {commits} GROUP BY author),
+h AS (SELECT n, part, sum(rows) OVER (ORDER BY n DESC, part NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - rows AS before FROM (SELECT n, part, count(*) AS rows FROM s GROUP BY n, part) c)
+SELECT s.author, s.n, h.before + row_number() OVER (PARTITION BY s.n, s.part ORDER BY s.author) AS rank FROM s JOIN h ON s.n = h.n AND s.part <=> h.part""", "SELECT author, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, author NULLS LAST) AS rank FROM {commits} GROUP BY author")  # 2.6.2
 _sql("shortstat", "SELECT commit_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS insertions FROM {trees} GROUP BY commit_id")  # 2.6.5, 2.6.6
 _sql("dirstat_cumulative", """
 SELECT dir, CAST(sum(size) AS BIGINT) AS damage, CAST(floor(sum(size) * 1000 / max(total)) AS BIGINT) AS permille FROM (
@@ -190,7 +195,11 @@ _sql("line_numbers", "SELECT doc_id, count(*) AS n, max(n) AS last FROM {lines}
 _sql("newest_commits", "SELECT id, CAST(day AS STRING) AS day FROM {commits} ORDER BY day DESC, id LIMIT 25")  # 2.8.4, 2.8.6
 _sql("oldest_commits", "SELECT id, CAST(day AS STRING) AS day FROM {commits} ORDER BY day, id LIMIT 25")  # 2.8.16
 _sql("refs_page", "SELECT name, id FROM {refs} WHERE name > 'refs/heads/2' ORDER BY name LIMIT 20")  # 2.8.11
-_sql("refs_sorted_top", "SELECT r.name, c.priority FROM {refs} r JOIN {commits} c ON r.id = c.id ORDER BY c.priority, r.name DESC LIMIT 30")  # 2.8.8, 2.8.9
+_sql("refs_sorted_top", "SELECT r.name, c.priority FROM {refs} r JOIN {commits} c ON r.id = c.id ORDER BY c.priority, r.name DESC LIMIT 30")  # a top 30; 2.8.8 and 2.8.9 are refs_sorted_all
+_sql("refs_sorted_all", """
+WITH s AS (SELECT r.name, substr(r.name, 1, 13) AS part, c.priority FROM {refs} r JOIN {commits} c ON r.id = c.id),
+h AS (SELECT priority, part, sum(rows) OVER (ORDER BY priority NULLS LAST, part DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - rows AS before FROM (SELECT priority, part, count(*) AS rows FROM s GROUP BY priority, part) c)
+SELECT s.name, s.priority, h.before + row_number() OVER (PARTITION BY s.priority, s.part ORDER BY s.name DESC) AS rank FROM s JOIN h ON s.priority <=> h.priority AND s.part <=> h.part""", "SELECT r.name, c.priority, row_number() OVER (ORDER BY c.priority NULLS LAST, r.name DESC) AS rank FROM {refs} r JOIN {commits} c ON r.id = c.id")  # 2.8.8, 2.8.9
 _sql("tree_order", "SELECT path, row_number() OVER (PARTITION BY k ORDER BY concat(path, '/')) AS pos FROM (SELECT DISTINCT path, substr(path, 1, 8) AS k FROM {trees}) t")  # 2.8.12
 
 # --- 2.10 to 2.12 scalar functions -----------------------------------------------------------

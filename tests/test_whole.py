@@ -16,3 +16,18 @@ def test_shell_quote_whole(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: shlex.split(r.quoted) for r in run(spark, "shell_quote_whole", tmp_path)}
     assert got == {i: [t or ""] for i, t in enumerate(texts)}
+
+
+def test_shortlog_numbered_all(spark):
+    authors = [r.author for r in catalog.P.table(spark, SF, "commits").select("author").collect()]
+    want = sorted(((-authors.count(a), a) for a in set(authors)))
+    assert len(want) > 20
+    assert sorted((r["rank"], -r.n, r.author) for r in run(spark, "shortlog_numbered_all")) == [(i + 1, n, a) for i, (n, a) in enumerate(want)]
+
+
+def test_refs_sorted_all(spark):
+    priority = {r.id: r.priority for r in catalog.P.table(spark, SF, "commits").select("id", "priority").collect()}
+    refs = sorted(((r.name, priority[r.id]) for r in catalog.P.table(spark, SF, "refs").collect()), reverse=True)
+    want = sorted(refs, key=lambda r: r[1])  # stable: names of a priority stay in descending order
+    assert len(want) > 30
+    assert [(r.name, r.priority) for r in sorted(run(spark, "refs_sorted_all"), key=lambda r: r["rank"])] == want
