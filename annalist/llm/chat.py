@@ -125,13 +125,16 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, Data
 
     Each user or system turn is a call named by its role (``ask``, ``instruct``),
     identified by its turn and run after the call two turns before.  Each assistant turn is the result of the turn before it.
+    A turn with any other role (``tool``) is a call named ``role:tool``, one without a role a call without name, both run
+    after the turn before; no schema knows them, so their error is ``unknown tool``.
     """
     t = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
     user = F.col("role") == "user"
     prompt = json_string(F.coalesce("text", F.lit("")))
     arguments = F.when(user, F.create_map(F.lit("n_chars"), F.char_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit("prompt"), prompt)).otherwise(F.create_map(F.lit("prompt"), prompt))
     name = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
-    calls = t.where(F.col("role").isin("user", "system")).select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.when(user, "ask").otherwise("instruct").alias("name"), arguments.alias("arguments"), name(F.col("turn") - F.when(user, 2).otherwise(1)).alias("after"))
+    named = F.when(user, "ask").when(F.col("role") == "system", "instruct").otherwise(F.concat(F.lit("role:"), F.col("role")))
+    calls = t.where(~F.col("role").eqNullSafe("assistant")).select("conv_id", name(F.col("turn")).alias("call_id"), "turn", named.alias("name"), arguments.alias("arguments"), name(F.col("turn") - F.when(user, 2).otherwise(1)).alias("after"))
     results = t.where(F.col("role") == "assistant").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     schemas = conversations.sparkSession.createDataFrame(TURN_SCHEMAS, "name string, key string, kind string, required boolean")
     return calls, results, schemas

@@ -132,6 +132,20 @@ def test_chat_of_turns(spark):
         assert r.json == json.dumps(held, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def test_turns_of_other_roles_make_rows(spark):
+    turns = [(1, 0, "system"), (1, 1, "user"), (1, 2, "tool"), (1, 3, "assistant"), (1, 4, None), (1, 5, "ask"), (2, 0, "User")]
+    rows = spark.createDataFrame([(c, t, r, f"text {t}") for c, t, r in turns], "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.call_id): (r.name, r.status, r.error, r.result_turn) for r in chat.link_tool_calls(*chat.turns_as_calls(rows)).collect()}
+    assert got == {
+        (1, "t0"): ("instruct", "open", None, None),
+        (1, "t1"): ("ask", "open", None, None),
+        (1, "t2"): ("role:tool", "linked", "unknown tool", 3),
+        (1, "t4"): (None, "open", "unknown tool", None),
+        (1, "t5"): ("role:ask", "open", "unknown tool", None),
+        (2, "t0"): ("role:User", "open", "unknown tool", None),
+    }
+
+
 # --- 3 ---------------------------------------------------------------------------------------
 
 
