@@ -151,7 +151,12 @@ SELECT src, dst FROM (SELECT d.path AS src, a.path AS dst, row_number() OVER (PA
   (SELECT h.path, h.oid FROM {head} h LEFT JOIN {staged} s ON h.path = s.path WHERE s.path IS NULL) d JOIN
   (SELECT s.path, s.oid FROM {staged} s LEFT JOIN {head} h ON h.path = s.path WHERE h.path IS NULL) a ON d.oid = a.oid) p WHERE r = 1""")  # 2.5.38
 _sql("exact_copy", "SELECT s.path AS dst, min(h.path) AS src FROM {staged} s JOIN {head} h ON s.oid = h.oid AND s.path <> h.path GROUP BY s.path")  # 2.5.39
-_sql("reflog_at_date", "SELECT ref, max_by(new_id, nth) AS oldest, min_by(new_id, nth) AS newest, count(*) AS n FROM {reflog} GROUP BY ref")  # 2.5.52
+_sql("reflog_at_date", "SELECT ref, max_by(new_id, nth) AS oldest, min_by(new_id, nth) AS newest, count(*) AS n FROM {reflog} GROUP BY ref")  # oldest and newest entries; the as-of of 2.5.52 is reflog_as_of
+# the newest entry up to the date; null for a ref whose log starts later
+_sql("reflog_as_of", """
+SELECT ref, max_by(new_id, CASE WHEN ts <= TIMESTAMP '2024-01-15 12:00:00' THEN -nth END) AS id, count(CASE WHEN ts <= TIMESTAMP '2024-01-15 12:00:00' THEN 1 END) AS n FROM {reflog} GROUP BY ref""", """
+SELECT r.ref, a.id, coalesce(a.n, 0) AS n FROM (SELECT DISTINCT ref FROM {reflog}) r
+LEFT JOIN (SELECT user_id AS ref, arg_max(event_id, (ts, event_id)) AS id, count(*) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY user_id) a ON r.ref = a.ref""")  # 2.5.52
 _sql("reflog_nth", "SELECT ref, new_id FROM {reflog} WHERE nth = 3")  # 2.5.52
 _sql("last_modified", "SELECT path, max_by(commit_id, concat(CAST(c.day AS STRING), lpad(CAST(c.id AS STRING), 20, '0'))) AS commit_id FROM {trees} t JOIN {commits} c ON t.commit_id = c.id GROUP BY path")  # 2.5.53
 _sql("interval_set", """

@@ -2,6 +2,8 @@
 
 import shlex
 
+from pyspark.sql import functions as F
+
 from annalist.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +33,9 @@ def test_refs_sorted_all(spark):
     want = sorted(refs, key=lambda r: r[1])  # stable: names of a priority stay in descending order
     assert len(want) > 30
     assert [(r.name, r.priority) for r in sorted(run(spark, "refs_sorted_all"), key=lambda r: r["rank"])] == want
+
+
+def test_reflog_as_of(spark, tmp_path):
+    rows = [(1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-15 12:00:00"), (3, 7, "2024-01-15 12:00:01"), (4, 8, "2024-01-20 00:00:00"), (6, 9, "2024-01-02 00:00:00"), (5, 9, "2024-01-02 00:00:00")]
+    spark.createDataFrame([(*r, "click") for r in rows], "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    assert {(r.ref, r.id, r.n) for r in run(spark, "reflog_as_of", tmp_path)} == {(7, 2, 2), (8, None, 0), (9, 6, 2)}
