@@ -169,7 +169,11 @@ _sql("ref_check", "SELECT r.name, CASE WHEN c.id IS NULL THEN 'missing' ELSE 'ok
 _sql("ref_map", "SELECT name AS src, concat('refs/remotes/origin/', substr(name, 12)) AS dst, id FROM {refs} WHERE name LIKE 'refs/heads/%'")  # 2.5.64
 _sql("push_plan", "SELECT coalesce(l.name, r.name) AS name, r.id AS old_id, l.id AS new_id, CASE WHEN l.name IS NULL THEN 'delete' WHEN r.name IS NULL THEN 'create' WHEN l.id <> r.id THEN 'update' ELSE 'same' END AS action FROM (SELECT name, id FROM {refs} WHERE id % 4 <> 0) l FULL OUTER JOIN (SELECT name, id - (id % 3) AS id FROM {refs} WHERE id % 5 <> 0) r ON l.name = r.name")  # 2.5.65
 _sql("children", "SELECT parent, count(*) AS n, min(child) AS first, max(child) AS last FROM {edges} GROUP BY parent")  # 2.5.30
-_sql("cherry_marks", "SELECT l.doc_id, CASE WHEN r.oid IS NULL THEN '+' ELSE '-' END AS mark FROM (SELECT doc_id, sha1(replace(text, ' ', '')) AS oid FROM documents WHERE doc_id % 2 = 0) l LEFT JOIN (SELECT DISTINCT sha1(replace(text, ' ', '')) AS oid FROM documents WHERE doc_id % 2 = 1) r ON l.oid = r.oid")  # 2.5.31, 2.5.32
+_sql("cherry_marks", "SELECT l.doc_id, CASE WHEN r.oid IS NULL THEN '+' ELSE '-' END AS mark FROM (SELECT doc_id, sha1(replace(text, ' ', '')) AS oid FROM documents WHERE doc_id % 2 = 0) l LEFT JOIN (SELECT DISTINCT sha1(replace(text, ' ', '')) AS oid FROM documents WHERE doc_id % 2 = 1) r ON l.oid = r.oid")  # one side only; 2.5.31 and 2.5.32 are cherry_marks_both
+_PATCHES = "(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<' ELSE '>' END AS side, sha1(replace(text, ' ', '')) AS oid FROM documents)"
+_sql("cherry_marks_both", f"""
+SELECT p.doc_id, p.side, CASE WHEN b.oid IS NULL THEN '+' ELSE '=' END AS mark FROM {_PATCHES} p
+LEFT JOIN (SELECT oid FROM {_PATCHES} q GROUP BY oid HAVING min(side) <> max(side)) b ON p.oid = b.oid""", f"SELECT doc_id, side, CASE WHEN EXISTS (SELECT 1 FROM {_PATCHES} q WHERE q.oid = p.oid AND q.side <> p.side) THEN '=' ELSE '+' END AS mark FROM {_PATCHES} p")  # 2.5.31, 2.5.32
 _sql("notes_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS annotated, CASE WHEN a.doc_id IS NULL THEN 'theirs' WHEN b.doc_id IS NULL THEN 'ours' WHEN a.quality = b.toxic THEN 'same' ELSE 'union' END AS outcome FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) a FULL OUTER JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")  # 2.5.51
 
 # --- 2.6 aggregates --------------------------------------------------------------------------

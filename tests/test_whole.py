@@ -39,3 +39,10 @@ def test_reflog_as_of(spark, tmp_path):
     rows = [(1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-15 12:00:00"), (3, 7, "2024-01-15 12:00:01"), (4, 8, "2024-01-20 00:00:00"), (6, 9, "2024-01-02 00:00:00"), (5, 9, "2024-01-02 00:00:00")]
     spark.createDataFrame([(*r, "click") for r in rows], "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
     assert {(r.ref, r.id, r.n) for r in run(spark, "reflog_as_of", tmp_path)} == {(7, 2, 2), (8, None, 0), (9, 6, 2)}
+
+
+def test_cherry_marks_both(spark, tmp_path):
+    rows = [(0, "a b"), (1, "ab"), (2, "c"), (4, "c"), (3, "d"), (5, "a  b"), (6, None), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.side + r.mark for r in run(spark, "cherry_marks_both", tmp_path)}
+    assert got == {0: "<=", 1: ">=", 2: "<+", 4: "<+", 3: ">+", 5: ">=", 6: "<+", 7: ">+"}
