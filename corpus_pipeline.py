@@ -26,11 +26,33 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, an id of each row; of rows of one id, or without id, that have the same words one stays.
+
+    A key is the row's id, or a hash above all ids for rows without an id and for the texts
+    of a repeated id but that with the smallest digest.
+    """
+    odd = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "odd_ids")
+    keyed = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    if odd.isEmpty():
+        return keyed
+    high = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[\x20\x09-\x0D]+", " "))
+    repeats = docs.where("doc_id is null").unionByName(docs.join(odd, "doc_id", "left_semi")).withColumn("_words", F.sha2(words, 256))
+    one = repeats.groupBy("doc_id", "_words").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    one = stored(one.select("_words", "r.*"), "odd_rows")
+    first = one.groupBy("doc_id").agg(F.min("_words").alias("_first"))
+    above = F.lit(high + 1) + F.pmod(F.xxhash64("doc_id", "_words"), F.lit(max(1, (1 << 63) - 2 - high)))
+    one = one.join(first, "doc_id", "left").withColumn("_key", F.when(F.col("_words") == F.col("_first"), F.col("doc_id").cast("long")).otherwise(above))
+    return keyed.where("doc_id is not null").join(odd, "doc_id", "left_anti").select(*docs.columns, "_key").unionByName(one.select(*docs.columns, "_key"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group that five-word shingles link at 0.8; rows without an id stay."""
-    found = jaccard_join.jaccard_components(docs, words=5, percent=80)
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group that five-word shingles link at 0.8: that with the smallest key (see ``_keyed``)."""
+    keyed = _keyed(docs)
+    found = jaccard_join.jaccard_components(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(gone.hint("shuffle_hash"), "_key", "left_anti").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
