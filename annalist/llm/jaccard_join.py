@@ -1,36 +1,43 @@
 """Exact n-gram Jaccard join as a metric-space join.
 
 The Jaccard distance ``d = 1 - |x & y| / |x | y|`` is a metric; two documents link
-when ``d <= r`` (``percent`` = 100 (1 - r)).
-
-*Level 0.*  Whole documents are bad first pivots: between unrelated texts every
-distance is close to 1, all documents would be boundary documents of all cells and
-would be replicated everywhere.  The first pivots are therefore singleton sets:
-``d(x, {s}) = 1 - 1/|x|`` if x holds the shingle s and 1 otherwise, so the cells
-nearest to x are those of its own shingles, ties broken by one global order (rare
-shingles first).  The boundary window of radius r follows from the sizes: partners
-share at least one of the first ``|x| - ceil((1 - r)|x|) + 1`` shingles, so x is
-replicated to exactly these cells.  The order comes from a counting sketch of fixed
-size over all documents; the sketch only affects speed, any order is exact.
-
-*Further levels.*  Each region takes its smallest document as pivot.  Members
-within r of it are linked with it.  A member that is more than 2r from a pivot can't
-link with any member linked to that pivot (triangle inequality), so a member linked
-to the new pivot and more than 2r from all earlier pivots of its region is settled;
-others stay as candidates and the region recurses with its next pivot.  After the
-first pivot, regions are also split by size bands (``1 - min/max`` bounds the distance
-from below).  Small regions are finished in one task, larger ones go on in rounds,
-where hot regions are split by AQE since every step is a pre-aggregated minimum
-and an equi-join.
-
-Members of one pivot are connected through it, so no pairs inside a group of
-copies are made, and components lose no link.  Equal sets are collapsed first.
+when ``d <= r`` (``percent`` = 100 (1 - r)).  Equal sets collapse to one class first,
+and classes are the points that are joined.
+
+*Level 0.*  Between unrelated texts every distance is close to 1, so whole documents
+would put every document into the window of every region.  The first pivots are
+therefore singleton sets: ``d(x, {s}) = 1 - 1/|x|`` if x holds the shingle s and 1
+otherwise, so the regions nearest to x are those of its own shingles, ties broken by
+one global order (rare shingles first).  The boundary window of radius r follows from
+the sizes: partners share at least one of the first ``|x| - ceil((1 - r)|x|) + 1``
+shingles, so x goes to exactly these regions.  (This is the prefix filter.)  The order
+comes from a counting sketch of fixed size over all documents; it only affects speed.
+
+*Level 1.*  Each region takes its smallest class as pivot; every member whose size
+allows it is compared with the pivot, each pair once whatever number of regions it
+shares.  Linked members are joined through the pivot, and a region whose members are
+all connected is finished.
+
+*Voronoi levels.*  A region that is too large for a task is dealt into chunks, and
+``PIVOTS`` of its members are pivots of all chunks.  Each member goes to the region of
+its nearest pivot p (its home) and, by the triangle inequality, to those of all pivots
+within ``d(x, p) + 2 r``: if x and y link, y is in x's home region.  These regions
+recurse.  A member whose window holds more than half of the pivots (it is far from
+all) isn't replicated: it meets all members of the region in blocks of bounded size,
+as do members of regions that do not shrink.
+
+*Ends.*  A region that fits a task (bounded in members and in shingles) is joined
+exactly in it: every pair that sizes allow and that isn't connected yet is counted.
+
+Only links that connect two components leave a task, at most its members less one, so
+no pairs inside a group of copies are made, and components lose no link.
 
 Defined results: null and empty texts, and texts without words, have the empty
-set, size 0 and link with nothing; texts of fewer words than a shingle have one
-shingle, the whole sequence; rows that repeat an id with other texts count as one
-document in links; a null id has a component only through an equal text that has
-an id; other columns are not read.
+set, size 0 and link with nothing (``component_id`` is their own id); texts of fewer
+words than a shingle have one shingle, the whole sequence; rows that repeat an id are
+judged row by row; a row with a null id links through its text, and its component is
+the smallest id reachable, null if there is none; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -43,12 +50,18 @@ from pyspark.sql import functions as F
 from . import tokens
 from .components import components
 from .shared_keys import bucket_count, shared_keys
-from .storage import only_near, stored
+from .storage import forget, only_near, scratch, stored
 
 #: Counters of the sketch (a byte each when broadcast, 8 MiB) and slices in which it is merged.
 SKETCH, PARTS = 1 << 23, 256
-#: Members of a region that is finished in one task.
-TASK_MEMBERS = 2048
+#: Members, and shingles of all of them (8 bytes each), of a region that is finished in one task; of a chunk of a larger one likewise.
+TASK_MEMBERS, TASK_SHINGLES = 2048, 1 << 20
+#: Pivots of a Voronoi level, and of them the part that a member's window may hold.
+PIVOTS, WIDE = 32, 0.5
+#: A region with more than this part of its parent's members does not shrink.
+SHRINKS = 0.75
+#: Rows of Arrow batches that hold sets.
+SET_ROWS = 500
 
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -113,216 +126,342 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), "<u4")
 
 
-def _marks(words: int):
-    """Size and 128-bit digest of each document's set."""
+def _signatures(held, words: int, percent: int):
+    """Size, 128-bit digest and level-0 regions (first shingles in the global order) of each document's set."""
 
     def run(batches):
+        sketch = held.value
         for ids, sets in _sets_of(batches, words):
-            one = [int(np.bitwise_xor.reduce(tokens.mix(x))) if len(x) else 0 for x in sets]
-            two = [int(np.add.reduce(tokens.mix(x ^ np.uint64(0x5851F42D4C957F2D)))) if len(x) else 0 for x in sets]
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "one": tokens.signed(np.array(one, np.uint64)), "two": tokens.signed(np.array(two, np.uint64))})
+            cells = []
+            for x in sets:
+                order = np.lexsort((x, sketch[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                cells.append(x[order[: _prefix(len(x), percent)]].tobytes() if len(x) else b"")
+            one, two = zip(*map(_digest, sets), strict=True)
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "one": _long(one), "two": _long(two), "cells": pa.array(cells, pa.binary())})
 
     return run
 
 
-def _cells(held, words: int, percent: int):
-    """Ids and cells (first shingles in the global order) of documents, as ``shared_keys`` takes them."""
-
-    def emit(batches):
-        sketch = held.value
-        for ids, sets in _sets_of(batches, words):
-            for i, x in zip(ids, sets, strict=True):
-                if len(x):
-                    order = np.lexsort((x, sketch[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                    cells = x[order[: _prefix(len(x), percent)]]
-                    yield np.full(len(cells), i, np.int64), cells
+def _digest(x: np.ndarray) -> tuple[int, int]:
+    if not len(x):
+        return 0, 0
+    return int(np.bitwise_xor.reduce(tokens.mix(x))), int(np.add.reduce(tokens.mix(x ^ np.uint64(0x5851F42D4C957F2D))))
 
-    return emit
 
+def _long(x) -> pa.Array:
+    return pa.array(tokens.signed(np.array(x, np.uint64)))
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a))
 
+def _packed_sets(words: int):
+    """Digest and set of each document."""
 
-def _measure(words: int):
     def run(batches):
-        for batch in tokens.pieces(batches, "left", 1 << 20):
-            inter, union = [], []
-            right = tokens.as_bytes(batch.column(3))
-            for at, held in tokens.slices(tokens.as_bytes(batch.column(2))):
-                near: dict[bytes, np.ndarray] = {}
-                for a, t in zip(shingle_sets(held, words), right[at : at + len(held)], strict=True):
-                    if t not in near:
-                        near = {t: shingle_sets([t], words)[0]}  # rows come sorted by the pivot
-                    b = near[t]
-                    same = overlap(a, b)
-                    inter.append(same)
-                    union.append(len(a) + len(b) - same)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], ["x", "q", "inter", "all"])
+        for _, sets in _sets_of(batches, words):
+            sets = [x for x in sets if len(x)]
+            if sets:
+                one, two = zip(*map(_digest, sets), strict=True)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.record_batch({"one": _long(one), "two": _long(two), "held": pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens.signed(np.concatenate(sets))))})
 
     return run
 
 
-#: Rows of Arrow batches that hold texts of pairs.
-TEXT_ROWS = 500
+def _emit_cells(batches):
+    """Classes and regions, as ``shared_keys`` takes them."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for i, raw in zip(ids, batch.column(1).to_pylist(), strict=True):
+            cells = np.frombuffer(raw, np.uint64)
+            yield np.full(len(cells), i, np.int64), cells
 
 
-def _distances(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(x, q, inter, all) of each pair, the nearest if an id has several texts.  Texts travel, being smaller than sets."""
-    left = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("left"))
-    right = texts.select(F.col("doc_id").alias("q"), F.col("text").alias("right"))
-    rows = pairs.join(left, "x").join(right, "q").select("x", "q", "left", "right").mapInArrow(_measure(words), "x long, q long, inter long, all long")
-    return stored(rows.groupBy("x", "q").agg(F.max(F.struct((F.col("inter") / F.col("all")).alias("like"), "inter", "all")).alias("m")).select("x", "q", "m.inter", "m.all"), "distances", TEXT_ROWS)
+class Overlaps:
+    """Intersection sizes of sets that are laid end to end, by inverted lists."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.size)])
+        values, at = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_inverse=True)
+        self.at = at.astype(np.int32)
+        order = np.argsort(self.at, kind="stable")
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), self.size)[order]
+        self.first = np.searchsorted(self.at[order], np.arange(len(values) + 1))
 
-#: Shingles of all sets that ``overlaps`` lays end to end (32 MiB of numbers); longer sets are compared one by one.
-FLAT_SHINGLES = 1 << 22
+    def __call__(self, q: int) -> np.ndarray:
+        """Sizes of the intersections of set ``q`` with every set."""
+        own = self.at[self.ends[q] : self.ends[q + 1]]
+        low, many = self.first[own], self.first[own + 1] - self.first[own]
+        shift = np.concatenate([[0], np.cumsum(many)[:-1]])
+        rows = np.repeat(low - shift, many) + np.arange(int(many.sum()))
+        return np.bincount(self.owner[rows], minlength=self.n)
 
+    def distance(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """(intersections, unions) of set ``q`` with every set."""
+        same = self(q)
+        return same, self.size + self.size[q] - same
 
-def overlaps(sets: list[np.ndarray]):
-    """A function of an index and a mask: sizes of that set's intersections with the sets of the mask (others: any value)."""
-    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
-    if ends[-1] > FLAT_SHINGLES:
 
-        def one_by_one(q: int, near: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(sets), np.int64)
-            for x in np.flatnonzero(near):
-                out[x] = overlap(sets[x], sets[q])
-            return out
+class Merge:
+    """Links between the labels of a task's members; only those that connect two labels are kept."""
 
-        return one_by_one
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    at, marked, total = at.astype(np.int32), np.zeros(len(values), bool), np.zeros(len(at) + 1, np.int64)
+    def __init__(self, labels):
+        _, self.label = np.unique(np.asarray(labels), return_inverse=True)
+        self.links: list[tuple[int, int]] = []
 
-    def at_once(q: int, near: np.ndarray) -> np.ndarray:
-        own = at[ends[q] : ends[q + 1]]
-        marked[own] = True
-        np.cumsum(marked[at], out=total[1:])
-        marked[own] = False
-        return total[ends[1:]] - total[ends[:-1]]
+    def add(self, q: int, others: np.ndarray) -> None:
+        for x in others.tolist():
+            if self.label[x] != self.label[q]:
+                self.links.append((x, q))
+                self.label[self.label == self.label[x]] = self.label[q]
 
-    return at_once
 
+def settle(sets: list[np.ndarray], labels, percent: int, open_=None) -> list[tuple[int, int]]:
+    """Links that connect what is connected among ``sets`` beyond ``labels``, at most their number less one.
 
-def settle(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected among ``sets`` (indexes), by the pivot recursion of this module."""
-    n, close = len(sets), 2 * percent - 100
-    size = np.array([len(s) for s in sets], np.int64)
-    open_, unsure, links = np.ones(n, bool), np.zeros(n, bool), []
+    Every pair of other labels is counted, if ``open_`` is given every pair with at least one open
+    member.  Members of the most frequent label come last, so a group of copies costs its exceptions.
+    """
+    n = len(sets)
     if not n:
-        return links
-    shared = overlaps(sets)
-    for q in range(n):
-        if not open_[q]:
+        return []
+    shared, merge = Overlaps(sets), Merge(labels)
+    size, left = shared.size, np.ones(n, bool)
+    if open_ is None:
+        todo = np.ones(n, bool)
+    else:
+        todo = np.asarray(open_, bool).copy()
+    while True:
+        rest = np.flatnonzero(left)
+        counts = np.bincount(merge.label[rest], minlength=1)
+        top = int(np.argmax(counts))
+        if counts[top] == len(rest):
+            return merge.links
+        asked = rest[todo[rest]]
+        if not len(asked):
+            return merge.links
+        outside = asked[merge.label[asked] != top] if open_ is None else asked
+        for q in (outside if len(outside) else asked)[:64].tolist():
+            near = left & (merge.label != merge.label[q]) & (100 * np.minimum(size, size[q]) >= percent * np.maximum(size, size[q]))
+            left[q] = False
+            if near.any():
+                same, union = shared.distance(q)
+                merge.add(q, np.flatnonzero(near & (100 * same >= percent * union)))
+
+
+def _groups(batches, key: str):
+    """Tables of the rows of each key; the rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        k = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        if not len(k):
             continue
-        open_[q] = False
-        near = 100 * np.minimum(size, size[q]) >= close * np.maximum(size, size[q])  # else more than 2r away by size alone
-        near[q] = False
-        same = shared(q, near)
-        union = size + size[q] - same
-        linked = near & (100 * same >= percent * union)
-        links += [(x, q) for x in np.flatnonzero(linked).tolist()]
-        open_[linked & ~unsure] = False
-        unsure |= near & ~linked & (100 * same >= close * union)
-    return links
-
-
-def _finish(words: int, percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("x").to_pylist()
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        sets = shingle_sets([table.column("text")[i].as_py().encode() for i in order], words)
-        found = settle(sets, percent)
-        return pa.table({"a": pa.array([ids[order[a]] for a, _ in found], pa.int64()), "b": pa.array([ids[order[b]] for _, b in found], pa.int64())})
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column(batch.schema.get_field_index(key))[0].as_py() != k[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _sets(table: pa.Table) -> list[np.ndarray]:
+    out = []
+    for chunk in table.column("held").chunks:
+        values, ends = chunk.values.to_numpy(zero_copy_only=False).view(np.uint64), chunk.offsets.to_numpy()
+        out += [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
+
+
+def _link_rows(x: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array([i for i, _ in found], np.int64), np.array([j for _, j in found], np.int64)
+    return pa.record_batch({"a": pa.array(x[a], pa.int64()), "b": pa.array(x[b], pa.int64())})
+
+
+def _finish(percent: int, blocks: bool = False):
+    """Links of regions that come as runs of rows (s, x, root, open, held)."""
+
+    def run(batches):
+        for table in _groups(batches, "s"):
+            x, open_ = _column(table, "x"), np.asarray(_column(table, "open"), bool)
+            if blocks:  # a member may be there as an open one and as another
+                order = np.lexsort((~open_, x))
+                order = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])]
+                table = table.take(pa.array(order)).combine_chunks()
+                x, open_ = _column(table, "x"), np.asarray(_column(table, "open"), bool)
+            found = settle(_sets(table), _column(table, "root"), percent, open_ if blocks else None)
+            if found:
+                yield _link_rows(x, found)
+
+    return run
+
+
+def _voronoi(percent: int):
+    """Rows (kind, s, x, y) of chunks that come as runs of rows (g, s, x, root, pivot, held): links (0), places in
+    pivots' regions (1; y: the pivot), and members whose window is wide (2)."""
+    r = 1 - percent / 100
+
+    def run(batches):
+        for table in _groups(batches, "g"):
+            x, s, pivot = _column(table, "x"), int(_column(table, "s")[0]), np.asarray(_column(table, "pivot"), bool)
+            sets = _sets(table)
+            shared, merge = Overlaps(sets), Merge(_column(table, "root"))
+            at, rows = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+            away = np.empty((len(at), len(rows)))
+            for i, q in enumerate(at.tolist()):
+                same, union = shared.distance(q)
+                merge.add(q, np.flatnonzero(100 * same >= percent * union))
+                away[i] = 1 - same[rows] / union[rows]
+            window = away <= away.min(axis=0) + 2 * r + 1e-9
+            wide = window.sum(axis=0) > max(1, WIDE * len(at))
+            kind = [np.zeros(len(merge.links), np.int64)]
+            left, right = [x[np.array([i for i, _ in merge.links], np.int64)]], [x[np.array([j for _, j in merge.links], np.int64)]]
+            p, m = np.nonzero(window & ~wide)
+            kind.append(np.ones(len(p), np.int64))
+            left.append(x[rows[m]])
+            right.append(x[at[p]])
+            w = np.flatnonzero(wide)
+            kind.append(np.full(len(w), 2))
+            left.append(x[rows[w]])
+            right.append(x[rows[w]])
+            k = np.concatenate(kind)
+            yield pa.record_batch({"kind": pa.array(k, pa.int64()), "s": pa.array(np.full(len(k), s), pa.int64()), "x": pa.array(np.concatenate(left), pa.int64()), "y": pa.array(np.concatenate(right), pa.int64())})
 
     return run
 
 
+def _sorted_runs(rows: DataFrame, key: str) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(key)
+
+
+def _fetch(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(x, held) of the classes of ``wanted`` (x, rep, one, two, n): the set of one of their rows."""
+    ids = wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    near = only_near(rows.where("doc_id is not null"), ids).join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    if not wanted.where("rep is null").isEmpty():
+        near = near.unionByName(rows.where("doc_id is null").select("doc_id", "text"))
+    sets = near.mapInArrow(_packed_sets(words), "one long, two long, held array<long>")
+    return sets.join(wanted.select("x", "one", "two", "n"), ["one", "two"]).where(F.size("held") == F.col("n")).select("x", "held").dropDuplicates(["x"])
+
+
+def _joined(roots: DataFrame | None, links: list[DataFrame]) -> DataFrame:
+    """Components of ``links`` (a, b) and of earlier ``roots`` (node, root)."""
+    total = links[0] if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for more in links[roots is None :]:
+        total = total.unionByName(more)
+    return components(total)
+
+
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (s, x, n, parent) of regions that hold several components, with the columns root and m."""
+    rows = members.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
+    rows = stored(rows, "labelled")
+    several = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high")
+    return rows.join(several.select("s", "m"), "s")
+
+
+def _large_regions(rows: DataFrame, sets: DataFrame, percent: int, links: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """A Voronoi level over large regions (s, x, n, root, m, weight); adds links.  Returns places (s, x, parent) and members of wide windows (s, x)."""
+    order = F.xxhash64("x", F.lit(11))
+    from pyspark.sql import Window
+
+    rows = rows.withColumns({"parts": F.ceil(F.greatest(F.col("m") / TASK_MEMBERS, F.col("weight") / TASK_SHINGLES)).cast("int"), "many": F.greatest(F.lit(2), F.least(F.lit(PIVOTS), F.floor(F.lit(TASK_SHINGLES) / 2 * F.col("m") / F.col("weight")))).cast("int")})
+    ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy(order, "x"))).where(F.col("i") <= PIVOTS).where(F.col("i") <= F.col("many"))
+    pivots = ranked.select("s", "x", "root", F.lit(True).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = rows.select("s", "x", "root", F.lit(False).alias("pivot"), F.pmod(F.xxhash64("x", F.lit(5)), F.col("parts").cast("long")).cast("int").alias("part"))
+    both = own.unionByName(pivots).join(sets, "x").select(F.xxhash64("s", "part").alias("g"), "s", "x", "root", "pivot", "held")
+    found = stored(_sorted_runs(both, "g").mapInArrow(_voronoi(percent), "kind long, s long, x long, y long"), "voronoi", SET_ROWS)
+    links.append(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    size = rows.select("s", F.col("m").alias("parent")).distinct()
+    placed = found.where("kind = 1").join(size, "s").select(F.xxhash64("s", "y").alias("s"), "x", "parent").dropDuplicates(["s", "x"])
+    return placed, found.where("kind = 2").select("s", "x").distinct()
+
+
+def _blocks(rows: DataFrame, wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the members ``wide`` (s, x) with all members of their regions (s, x, n, root), block against block."""
+    held = rows.join(wide.withColumn("open", F.lit(True)), ["s", "x"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    half, most = max(1, TASK_MEMBERS // 2), max(1, TASK_SHINGLES // 2)
+    sizes = held.groupBy("s").agg(*(F.ceil(F.greatest(F.sum(F.when(c, 1)) / half, F.sum(F.when(c, F.col("n"))) / most)).cast("int").alias(name) for c, name in ((F.col("open"), "bw"), (F.lit(True), "ba")))).where("bw is not null")
+    dealt = stored(held.join(sizes, "s"), "blocks")
+    at = lambda n: F.pmod(F.xxhash64("x", F.lit(3)), F.col(n).cast("long")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = dealt.where("open").select("s", "x", "root", "open", at("bw").alias("i"), upto("ba").alias("j"))
+    told = dealt.select("s", "x", "root", F.lit(False).alias("open"), at("ba").alias("j"), upto("bw").alias("i"))
+    both = asks.unionByName(told).join(sets, "x").select(F.xxhash64("s", "i", "j").alias("s"), "x", "root", "open", "held")
+    return stored(_sorted_runs(both, "s").mapInArrow(_finish(percent, True), "a long, b long"), "links", SET_ROWS)
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_class): one row per row of ``docs``; ``n_class`` counts the rows with an equal set.
 
     Documents link when ``100 * |x & y| >= percent * |x | y|`` over distinct ``words``-word shingles.
     """
-    spark = docs.sparkSession
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
+    with scratch(docs.sparkSession) as keep:
+        return keep(_components(docs, words, percent))
+
+
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(shingle_sketch(rows, words))
-    base = stored(rows.mapInArrow(_marks(words), "doc_id long, n long, one long, two long"), "marks")
-    # equal sets collapse to their smallest id
-    classes = stored(base.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class")), "classes")
-    known = rows.where("doc_id is not null and text is not null")
-    cells = shared_keys(known, _cells(sketch, words, percent), bucket_count(docs))
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "n")
-    members = stored(cells.join(reps, "doc_id").select(F.explode("keys").alias("s"), F.col("doc_id").alias("x"), "n"), "members")
+    base = stored(rows.mapInArrow(_signatures(sketch, words, percent), "doc_id long, n long, one long, two long, cells binary"), "signatures")
+    classes = base.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("cells").alias("cells"))
+    classes = stored(classes.withColumn("x", F.monotonically_increasing_id()), "classes")
+    found = shared_keys(classes.select("x", "cells"), _emit_cells, bucket_count(docs)).withColumnRenamed("doc_id", "x")
+    members = stored(found.join(classes.select("x", "n"), "x").select(F.explode("keys").alias("s"), "x", "n"), "members")
     busy = members.groupBy("s").agg(F.min(F.struct("x", "n")).alias("q"), F.max("x").alias("high")).where("q.x < high").select("s", F.col("q.x").alias("q"), F.col("q.n").alias("qn"))
-    state = members.join(busy, "s")
-
-    # 1 when sizes alone keep a pair within a distance: 100 min >= p max
-    within = lambda p: F.least("n", "qn") * 100 >= F.greatest("n", "qn") * p
-    close = 2 * percent - 100
-    wanted = state.where("x <> q").where(within(close)).select("x", "q").distinct()
-    wanted = stored(wanted, "pairs")
-    ids = wanted.select(F.explode(F.array("x", "q")).alias("doc_id")).distinct()
-    texts = stored(only_near(known, ids).join(ids, "doc_id", "left_semi"), "texts")
-    linked = F.col("inter") * 100 >= F.col("all") * percent
-    unsure = F.coalesce(F.col("inter") * 100 >= F.col("all") * close, F.lit(False)) & ~F.coalesce(linked, F.lit(False))
-
-    found = _distances(wanted, texts, words)
-    links = [found.where(linked).select(F.col("x").alias("a"), F.col("q").alias("b"))]
-    after = state.where("x <> q").join(found, ["x", "q"], "left").withColumns({"unsure": unsure, "open": ~F.coalesce(linked & ~unsure, F.lit(False))})
-    # regions that still have an open member, once for each of two neighbouring size bands
-    some = after.where("open").select("s").distinct()
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("long")
-    rest = after.join(some, "s", "left_semi").withColumn("band", band)
-    rest = rest.select(F.explode(F.array(F.xxhash64("s", "band"), F.xxhash64("s", F.col("band") + 1))).alias("s"), "x", "n", "open", "unsure")
-    rest = _live(rest)
+    state = stored(members.join(busy, "s"), "state")
+    forget(members)
+    wanted = classes.drop("cells", "n_class").join(state.select("x").distinct(), "x", "left_semi")
+    sets = stored(_fetch(rows, stored(wanted, "wanted"), words), "sets", SET_ROWS)
+
+    # level 1: each member against the pivots of its regions, each pair once
+    fits = F.least("n", "qn") * 100 >= F.greatest("n", "qn") * percent
+    pairs = state.where("x <> q").where(fits).select("x", "q", "n", "qn").distinct()
+    both = pairs.join(sets, "x").join(sets.select(F.col("x").alias("q"), F.col("held").alias("held_q")), "q")
+    same = F.size(F.array_intersect("held", "held_q"))
+    links = [stored(both.withColumn("same", same).where(F.col("same") * 100 >= (F.col("n") + F.col("qn") - F.col("same")) * percent).select(F.col("x").alias("a"), F.col("q").alias("b")), "links")]
+
+    regions = state.select("s", "x", "n", F.lit(None).cast("long").alias("parent"))
+    schema, roots = "a long, b long", _joined(None, links)
     while True:
-        rest = stored(rest, "regions")
-        sizes = stored(rest.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("open"), F.struct("x", "n"))).alias("q")), "region_sizes")
-        small = rest.join(sizes.where(F.col("m") <= TASK_MEMBERS).select("s"), "s", "left_semi").select("s", "x")
+        links = []
+        rest = _labelled(regions, roots)
+        # two members have met as member and pivot, unless a Voronoi level made the region
+        rest = rest.where("m > 2 or parent is not null")
+        sizes = rest.groupBy("s").agg(F.sum("n").alias("weight"))
+        rest = stored(rest.join(sizes, "s"), "regions")
+        fits_task = (F.col("m") <= TASK_MEMBERS) & (F.col("weight") <= TASK_SHINGLES)
+        small = rest.where(fits_task)
         # one region of those with the same members is enough
-        same = small.groupBy("s").agg(F.array_sort(F.collect_set("x")).alias("xs")).groupBy("xs").agg(F.min("s").alias("s"))
-        extra = _lacking(small, texts, known)
-        links.append(stored(same.select("s", F.explode("xs").alias("x")).join(extra, F.col("x") == F.col("doc_id")).select("s", "x", "text").groupBy("s").applyInArrow(_finish(words, percent), "a long, b long"), "links"))
-        large = sizes.where(F.col("m") > TASK_MEMBERS).select("s", F.col("q.x").alias("q"), F.col("q.n").alias("qn"))
+        lists = small.groupBy("s").agg(F.array_sort(F.collect_set("x")).alias("xs"))
+        once = lists.groupBy("xs").agg(F.min("s").alias("s")).select("s")
+        tasks = small.join(once, "s", "left_semi").join(sets, "x").select("s", "x", "root", F.lit(True).alias("open"), "held")
+        links.append(stored(_sorted_runs(tasks, "s").mapInArrow(_finish(percent), schema), "links", SET_ROWS))
+        large = rest.where(~fits_task)
         if large.isEmpty():
             break
-        state = rest.join(large, "s").where("x <> q")
-        pairs = stored(state.where(within(close)).select("x", "q").distinct(), "pairs")
-        found = _distances(pairs, _lacking(pairs.select(F.explode(F.array("x", "q")).alias("x")), texts, known), words)
-        links.append(found.where(linked).select(F.col("x").alias("a"), F.col("q").alias("b")))
-        hit = state.join(found, ["x", "q"], "left").withColumn("unsure", F.col("unsure") | unsure)
-        rest = _live(hit.select("s", "x", "n", (F.col("open") & ~(F.coalesce(linked, F.lit(False)) & ~F.col("unsure"))).alias("open"), "unsure"))
-
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    roots = components(edges)
-    # a row's component is its class's; classes without links are their own
-    whole = classes.join(roots, F.col("rep") == F.col("node"), "left").select("one", "two", "n", "n_class", F.coalesce("root", "rep").alias("component_id"))
+        stuck = large.where(F.col("m") > SHRINKS * F.col("parent"))
+        top = stuck.groupBy("s", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("s").agg(F.max_by("root", F.struct("k", "root")).alias("top"))
+        wide = stuck.join(top, "s").where("root <> top").select("s", "x")
+        go = large.where("parent is null or m <= parent * %r" % SHRINKS)
+        regions, more = _large_regions(go, sets, percent, links)
+        links.append(_blocks(large.select("s", "x", "n", "root"), wide.unionByName(more), sets, percent))
+        roots = _joined(roots, links)
+        regions = stored(regions.join(classes.select("x", "n"), "x").select("s", "x", "n", "parent"), "places")
+
+    if not links[0].isEmpty():
+        roots = _joined(roots, links)
+    # a class's component has the smallest id of its classes
+    labelled = stored(classes.drop("cells").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "labels")
+    lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
+    whole = labelled.join(lowest, "root").select("one", "two", "n", "n_class", "component_id", F.lit(True).alias("known"))
     out = base.select("doc_id", "n", "one", "two").join(whole, ["one", "two", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
-
-
-def _live(rows: DataFrame) -> DataFrame:
-    """Rows of regions with an open member and another one."""
-    rows = rows.dropDuplicates(["s", "x"])
-    live = rows.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.max("open").alias("any")).where("any and m > 1").select("s")
-    return rows.join(live, "s", "left_semi")
-
-
-def _lacking(needed: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """``texts`` with those of documents that no earlier step has needed (only pairs too far apart in size)."""
-    missing = stored(needed.select(F.col("x").alias("doc_id")).distinct().join(texts, "doc_id", "left_anti"), "missing")
-    if missing.isEmpty():
-        return texts
-    near = only_near(rows, missing).join(missing, "doc_id", "left_semi")
-    return texts.unionByName(stored(near, "texts"))
+    return stored(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class")), "components")

@@ -397,20 +397,6 @@ def test_jaccard_components(docs, texts, words, percent):
     assert got == brute.components(texts, words, percent)
 
 
-def test_jaccard_rounds_over_large_regions(docs, texts, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "TASK_MEMBERS", 1)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, 2, 60).collect()}
-    assert got == brute.components(texts, 2, 60)
-
-
-def test_jaccard_messy(messy, empty):
-    got = jaccard_join.jaccard_components(messy, 3, 90).collect()
-    assert len(got) == messy.count()
-    same_text = {r.component_id for r in got if r.doc_id == 4}
-    assert len(same_text) == 1
-    assert jaccard_join.jaccard_components(empty, 3, 90).count() == 0
-
-
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1, max_size=10), min_size=1, max_size=9))
 def test_settle_connects_what_links(sets):
@@ -429,7 +415,7 @@ def test_settle_connects_what_links(sets):
         return {frozenset(j for j in range(len(sets)) if find(j) == find(i)) for i in range(len(sets))}
 
     every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
-    assert groups(jaccard_join.settle(arrays, 80)) == groups(every)
+    assert groups(jaccard_join.settle(arrays, range(len(arrays)), 80)) == groups(every)
 
 
 def test_components(spark):
