@@ -8,10 +8,12 @@ and classes are the points that are joined.
 would put every document into the window of every region.  The first pivots are
 therefore singleton sets: ``d(x, {s}) = 1 - 1/|x|`` if x holds the shingle s and 1
 otherwise, so the regions nearest to x are those of its own shingles, ties broken by
-one global order (rare shingles first).  The boundary window of radius r follows from
-the sizes: partners share at least one of the first ``|x| - ceil((1 - r)|x|) + 1``
-shingles, so x goes to exactly these regions.  (This is the prefix filter.)  The order
-comes from a counting sketch of fixed size over all documents; it only affects speed.
+one global order.  The boundary window of radius r follows from the sizes: partners
+share at least one of the first ``|x| - ceil((1 - r)|x|) + 1`` shingles, so x goes to
+exactly these regions.  (This is the prefix filter.)  In the order, a fixed part of
+all shingles (by hash) comes first, rare ones before frequent ones, as counted over
+all classes (``counted_keys``); then the others by hash.  Most documents' windows hold
+only shingles of their own, so they are done without a comparison.
 
 *Level 1.*  Each region takes its smallest class as pivot; every member whose size
 allows it is compared with the pivot, each pair once whatever number of regions it
@@ -49,11 +51,11 @@ from pyspark.sql import functions as F
 
 from . import tokens
 from .components import components
-from .shared_keys import bucket_count, shared_keys
+from .shared_keys import bucket_count, counted_keys, runs
 from .storage import forget, only_near, scratch, stored
 
-#: Counters of the sketch (a byte each when broadcast, 8 MiB) and slices in which it is merged.
-SKETCH, PARTS = 1 << 23, 256
+#: Part of the shingles that are counted, as a multiple of the part that a partner may lack.
+COUNTED = 1.75
 #: Members, and shingles of all of them (8 bytes each), of a region that is finished in one task; of a chunk of a larger one likewise.
 TASK_MEMBERS, TASK_SHINGLES = 2048, 1 << 20
 #: Pivots of a Voronoi level, and of them the part that a member's window may hold.
@@ -90,54 +92,23 @@ def _sets_of(batches, words):
             yield ids[at : at + len(held)], shingle_sets(held, words)
 
 
-def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """Classes of the counts of documents by shingle, modulo ``SKETCH``: eight classes an octave, bounded whatever the data's size."""
-    step = SKETCH // PARTS
+def _limit(percent: int) -> int:
+    """The first 48-bit shingle that is not counted."""
+    return int(min(1.0, COUNTED * (100 - percent) / 100 + 0.01) * (1 << 48))
 
-    def count(batches):
-        total = np.zeros(SKETCH, np.uint32)
-        for _, sets in _sets_of(batches, words):
-            np.add.at(total, (np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-        part = [total[i * step : (i + 1) * step] for i in range(PARTS)]
-        yield pa.record_batch({"i": pa.array(range(PARTS), pa.int32()), "b": pa.array([_pack(p) for p in part], pa.binary())})
-
-    def merge(table):
-        total = np.zeros(step, np.uint64)
-        for b in table.column("b").to_pylist():
-            total += _unpack(b)
-        return pa.table({"i": table.column("i")[:1], "b": pa.array([np.minimum(255, 8 * np.log2(1.0 + total)).astype(np.uint8).tobytes()], pa.binary())})
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "i int, b binary").groupBy("i").applyInArrow(merge, "i int, b binary").collect()
-    out = np.zeros(SKETCH, np.uint8)
-    for r in rows:
-        out[r.i * step : (r.i + 1) * step] = np.frombuffer(bytes(r.b), np.uint8)
-    return out
-
-
-def _pack(x: np.ndarray) -> bytes:
-    import zlib
-
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    import zlib
 
-    return np.frombuffer(zlib.decompress(b), "<u4")
-
-
-def _signatures(held, words: int, percent: int):
-    """Size, 128-bit digest and level-0 regions (first shingles in the global order) of each document's set."""
+def _signatures(words: int, percent: int):
+    """Size, digest and first 48-bit shingles of each document's set: those that are counted, and enough for a prefix."""
+    limit = np.uint64(_limit(percent))
 
     def run(batches):
-        sketch = held.value
         for ids, sets in _sets_of(batches, words):
-            cells = []
-            for x in sets:
-                order = np.lexsort((x, sketch[(x & np.uint64(SKETCH - 1)).astype(np.int64)]))
-                cells.append(x[order[: _prefix(len(x), percent)]].tobytes() if len(x) else b"")
+            first = []
+            for x in sets:  # sorted, so the counted ones come first
+                x = x >> np.uint64(16)
+                first.append(np.ascontiguousarray(x[: max(int(np.searchsorted(x, limit)), _prefix(len(x), percent))].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
             one, two = zip(*map(_digest, sets), strict=True)
-            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "one": _long(one), "two": _long(two), "cells": pa.array(cells, pa.binary())})
+            yield pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "n": pa.array(map(len, sets), pa.int64()), "one": _long(one), "two": _long(two), "first": pa.array(first, pa.binary())})
 
     return run
 
@@ -166,15 +137,6 @@ def _packed_sets(words: int):
     return run
 
 
-def _emit_cells(batches):
-    """Classes and regions, as ``shared_keys`` takes them."""
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for i, raw in zip(ids, batch.column(1).to_pylist(), strict=True):
-            cells = np.frombuffer(raw, np.uint64)
-            yield np.full(len(cells), i, np.int64), cells
-
-
 class Overlaps:
     """Intersection sizes of sets that are laid end to end, by inverted lists."""
 
@@ -249,23 +211,6 @@ def settle(sets: list[np.ndarray], labels, percent: int, open_=None) -> list[tup
                 merge.add(q, np.flatnonzero(near & (100 * same >= percent * union)))
 
 
-def _groups(batches, key: str):
-    """Tables of the rows of each key; the rows come sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        k = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-        if not len(k):
-            continue
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[0].column(batch.schema.get_field_index(key))[0].as_py() != k[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
@@ -287,7 +232,7 @@ def _finish(percent: int, blocks: bool = False):
     """Links of regions that come as runs of rows (s, x, root, open, held)."""
 
     def run(batches):
-        for table in _groups(batches, "s"):
+        for table in runs(batches, "s"):
             x, open_ = _column(table, "x"), np.asarray(_column(table, "open"), bool)
             if blocks:  # a member may be there as an open one and as another
                 order = np.lexsort((~open_, x))
@@ -307,7 +252,7 @@ def _voronoi(percent: int):
     r = 1 - percent / 100
 
     def run(batches):
-        for table in _groups(batches, "g"):
+        for table in runs(batches, "g"):
             x, s, pivot = _column(table, "x"), int(_column(table, "s")[0]), np.asarray(_column(table, "pivot"), bool)
             sets = _sets(table)
             shared, merge = Overlaps(sets), Merge(_column(table, "root"))
@@ -346,7 +291,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     if not wanted.where("rep is null").isEmpty():
         near = near.unionByName(rows.where("doc_id is null").select("doc_id", "text"))
     sets = near.mapInArrow(_packed_sets(words), "one long, two long, held array<long>")
-    return sets.join(wanted.select("x", "one", "two", "n"), ["one", "two"]).where(F.size("held") == F.col("n")).select("x", "held").dropDuplicates(["x"])
+    return sets.join(wanted.select("x", "one", "two", "n"), ["one", "two"]).where(F.size("held") == F.col("n")).dropDuplicates(["one", "two", "x"]).select("x", "held")
 
 
 def _joined(roots: DataFrame | None, links: list[DataFrame]) -> DataFrame:
@@ -408,18 +353,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
 
 def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = spark.sparkContext.broadcast(shingle_sketch(rows, words))
-    base = stored(rows.mapInArrow(_signatures(sketch, words, percent), "doc_id long, n long, one long, two long, cells binary"), "signatures")
-    classes = base.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("cells").alias("cells"))
+    base = stored(rows.mapInArrow(_signatures(words, percent), "doc_id long, n long, one long, two long, first binary"), "signatures")
+    classes = base.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"), F.first("first").alias("first"))
     classes = stored(classes.withColumn("x", F.monotonically_increasing_id()), "classes")
-    found = shared_keys(classes.select("x", "cells"), _emit_cells, bucket_count(docs)).withColumnRenamed("doc_id", "x")
-    members = stored(found.join(classes.select("x", "n"), "x").select(F.explode("keys").alias("s"), "x", "n"), "members")
+    found = counted_keys(classes.select("x", "first"), "first", _limit(percent), bucket_count(docs))
+    # shingles of this class alone come first in the order, and no other class has them
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
+    left = (prefix - (F.octet_length("first") / 6).cast("long") + F.size("codes")).cast("int")
+    within = found.withColumnRenamed("id", "x").join(classes.select("x", "n", "first"), "x").withColumn("left", left).where("left > 0")
+    last = F.get("codes", F.least(F.col("left"), F.size("codes")) - 1)
+    cells = within.withColumn("codes", F.array_distinct(F.filter("codes", lambda c: c <= last)))
+    members = stored(cells.select(F.explode("codes").alias("s"), "x", "n"), "members")
     busy = members.groupBy("s").agg(F.min(F.struct("x", "n")).alias("q"), F.max("x").alias("high")).where("q.x < high").select("s", F.col("q.x").alias("q"), F.col("q.n").alias("qn"))
     state = stored(members.join(busy, "s"), "state")
     forget(members)
-    wanted = classes.drop("cells", "n_class").join(state.select("x").distinct(), "x", "left_semi")
+    wanted = classes.drop("first", "n_class").join(state.select("x").distinct(), "x", "left_semi")
     sets = stored(_fetch(rows, stored(wanted, "wanted"), words), "sets", SET_ROWS)
 
     # level 1: each member against the pivots of its regions, each pair once
@@ -460,7 +409,7 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     if not links[0].isEmpty():
         roots = _joined(roots, links)
     # a class's component has the smallest id of its classes
-    labelled = stored(classes.drop("cells").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "labels")
+    labelled = stored(classes.drop("first").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "labels")
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
     whole = labelled.join(lowest, "root").select("one", "two", "n", "n_class", "component_id", F.lit(True).alias("known"))
     out = base.select("doc_id", "n", "one", "two").join(whole, ["one", "two", "n"], "left")

@@ -143,6 +143,98 @@ def shared_keys(rows: DataFrame, emit: Emit, buckets: int) -> DataFrame:
     return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
 
 
+#: Steps of a key's code an octave of its count, and the code of keys that are not counted.
+STEPS, UNCOUNTED = 4, 120
+
+
+def code(keys: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """64-bit codes of 48-bit keys that sort by ``kind`` (below 128), then by key."""
+    return (kind.astype(np.int64) << 56) | (keys.astype(np.int64) << 8)
+
+
+def counted_keys(rows: DataFrame, column: str, limit: int, buckets: int) -> DataFrame:
+    """(id, codes array<long>): of each row's distinct 48-bit keys (packed, 6 bytes each, in ``column``) those that
+    another row has too, as codes.  Keys below ``limit`` sort by how many rows have them, in quarter octaves, and
+    come before all others, which sort by themselves.
+
+    The same moves as in ``shared_keys``; a flush sends a key once, with a byte for its count.
+    """
+
+    def flushes(batches):
+        for ids, keys in _gathered((np.full(len(raw) // 6, i, np.int64), _unpack(raw)) for b in batches for i, raw in zip(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), strict=True)):
+            yield ids, (keys % np.uint64(buckets) << _HIGH) | keys
+
+    def seen(batches):
+        for _, keys in flushes(batches):
+            keys, n = np.unique(keys, return_counts=True)
+            raw, log = _pack(keys), np.minimum(255, 8 * np.log2(n)).astype(np.uint8)
+            at, cut = _by_bucket(keys)
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            yield pa.record_batch({"b": pa.array(at.astype(np.int32)), "raw": pa.array([raw[a:z].tobytes() for a, z in spans], pa.binary()), "n": pa.array([log[a:z].tobytes() for a, z in spans], pa.binary())})
+
+    def merge(batches):
+        for table in runs(batches, "b"):
+            keys = _unpack(b"".join(table.column("raw").to_pylist()))
+            n = np.exp2(np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint8) / 8)
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            total = np.add.reduceat(n, first)
+            keep = total > 1.5
+            if keep.any():
+                kind = np.minimum(UNCOUNTED - 1, STEPS * np.log2(total[keep])).astype(np.uint8)
+                yield pa.record_batch({"b": table.column("b")[:1].combine_chunks(), "shared": pa.array([_pack(keys[first[keep]]).tobytes()], pa.binary()), "kind": pa.array([kind.tobytes()], pa.binary())})
+
+    def sent(batches):
+        for ids, keys in flushes(batches):
+            order = np.lexsort((ids, keys >> _HIGH))
+            ids, keys = ids[order], keys[order]
+            raw = _pack(keys)
+            at, cut = _by_bucket(keys)
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            yield pa.record_batch({"b": pa.array(at.astype(np.int32)), "raw": pa.array([raw[a:z].tobytes() for a, z in spans], pa.binary()), "ids": pa.array([_squeeze(ids[a:z]) for a, z in spans], pa.binary())})
+
+    def hits(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, ids = _unpack(batch.column(0)[i].as_py()), _stretch(batch.column(1)[i].as_py())
+                have, kind = _unpack(batch.column(2)[i].as_py()), np.frombuffer(batch.column(3)[i].as_py(), np.uint8)
+                at = np.searchsorted(have, keys)
+                at[at == len(have)] = 0
+                good = have[at] == keys
+                keys, ids, at = keys[good], ids[good], at[good]
+                if not len(keys):
+                    continue
+                codes = code(keys, np.where(keys < limit, kind[at], UNCOUNTED))
+                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                yield pa.record_batch({"id": pa.array(ids[first]), "codes": pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(codes))})
+
+    id_col = rows.columns[0]
+    rows = rows.select(F.col(id_col).alias("id"), column)
+    first = rows.mapInArrow(seen, "b int, raw binary, n binary").repartition("b").sortWithinPartitions("b")
+    shared = stored(first.mapInArrow(merge, "b int, shared binary, kind binary"), "shared-keys", 64)
+    found = rows.mapInArrow(sent, "b int, raw binary, ids binary").join(shared, "b").select("raw", "ids", "shared", "kind").mapInArrow(hits, "id long, codes array<long>")
+    return found.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("codes"))).alias("codes"))
+
+
+def runs(batches, key: str):
+    """Tables of the rows of each key; the rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = batch.schema.get_field_index(key)
+        k = batch.column(at).to_numpy(zero_copy_only=False)
+        if not len(k):
+            continue
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column(at)[0].as_py() != k[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 #: Yields (document ids, parts, keys) for Arrow batches of rows with places.
 EmitPlaces = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 #: Bytes kept of a key whose bucket is known.
