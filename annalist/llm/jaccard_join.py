@@ -28,6 +28,9 @@ recurse.  A member whose window holds more than half of the pivots (it is far fr
 all) isn't replicated: it meets all members of the region in blocks of bounded size,
 as do members of regions that do not shrink.
 
+*Families.*  Regions that share members, such as those of near copies with many
+common shingles, are joined together where all of them fit a task.
+
 *Ends.*  A region that fits a task (bounded in members and in shingles) is joined
 exactly in it: every pair that sizes allow and that isn't connected yet is counted.
 
@@ -310,6 +313,20 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(several.select("s", "m"), "s")
 
 
+def _families(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Joins regions that share members in one task, so that a set moves once.  Returns the rows of regions whose family is too large, and links."""
+    hubs = rows.groupBy("s").agg(F.min("x").alias("hub"))
+    tied = rows.join(hubs, "s").where("x <> hub").select(F.col("x").alias("a"), F.col("hub").alias("b"))
+    ties = components(tied).select(F.col("node").alias("x"), F.col("root").alias("family"))
+    named = stored(rows.join(ties, "x", "left").withColumn("family", F.coalesce("family", "x")), "families")
+    own = named.select("family", "x", "n", "root").distinct()
+    fits = own.groupBy("family").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w")).where((F.col("k") <= TASK_MEMBERS) & (F.col("w") <= TASK_SHINGLES)).select("family")
+    fits = stored(fits, "fits")
+    tasks = own.join(fits, "family", "left_semi").join(sets, "x").select(F.col("family").alias("s"), "x", "root", F.lit(True).alias("open"), "held")
+    links = stored(_sorted_runs(tasks, "s").mapInArrow(_finish(percent), "a long, b long"), "links", SET_ROWS)
+    return named.join(fits, "family", "left_anti").drop("family"), [links]
+
+
 def _large_regions(rows: DataFrame, sets: DataFrame, percent: int, links: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """A Voronoi level over large regions (s, x, n, root, m, weight); adds links.  Returns places (s, x, parent) and members of wide windows (s, x)."""
     order = F.xxhash64("x", F.lit(11))
@@ -381,13 +398,13 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     regions = state.select("s", "x", "n", F.lit(None).cast("long").alias("parent"))
     schema, roots = "a long, b long", _joined(None, links)
     while True:
-        links = []
         rest = _labelled(regions, roots)
         # two members have met as member and pivot, unless a Voronoi level made the region
         rest = rest.where("m > 2 or parent is not null")
         sizes = rest.groupBy("s").agg(F.sum("n").alias("weight"))
         rest = stored(rest.join(sizes, "s"), "regions")
         fits_task = (F.col("m") <= TASK_MEMBERS) & (F.col("weight") <= TASK_SHINGLES)
+        rest, links = _families(rest, sets, percent)
         small = rest.where(fits_task)
         # one region of those with the same members is enough
         lists = small.groupBy("s").agg(F.array_sort(F.collect_set("x")).alias("xs"))
@@ -406,7 +423,7 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
         roots = _joined(roots, links)
         regions = stored(regions.join(classes.select("x", "n"), "x").select("s", "x", "n", "parent"), "places")
 
-    if not links[0].isEmpty():
+    if not all(more.isEmpty() for more in links):
         roots = _joined(roots, links)
     # a class's component has the smallest id of its classes
     labelled = stored(classes.drop("first").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "labels")
