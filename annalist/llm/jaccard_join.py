@@ -28,6 +28,9 @@ recurse.  A member whose window holds more than half of the pivots (it is far fr
 all) isn't replicated: it meets all members of the region in blocks of bounded size,
 as do members of regions that do not shrink.
 
+*Sizes.*  ``1 - min/max`` of the sizes bounds the distance from below, so regions that
+are not finished are split into overlapping bands of sizes.
+
 *Families.*  Regions that share members, such as those of near copies with many
 common shingles, are joined together where all of them fit a task.
 
@@ -47,6 +50,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -313,6 +318,13 @@ def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(several.select("s", "m"), "s")
 
 
+def _banded(rows: DataFrame, percent: int) -> DataFrame:
+    """Regions split by bands of sizes: ``1 - min/max`` bounds the distance from below, so members that link are in one band or in neighbouring ones."""
+    width = max(math.log(100 / percent) * (1 + 1e-9), 1e-6)  # a little wider than r, whatever the rounding
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("long")
+    return rows.withColumn("s", F.explode(F.array(F.xxhash64("s", band), F.xxhash64("s", band + 1)))).dropDuplicates(["s", "x"])
+
+
 def _families(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Joins regions that share members in one task, so that a set moves once.  Returns the rows of regions whose family is too large, and links."""
     hubs = rows.groupBy("s").agg(F.min("x").alias("hub"))
@@ -397,10 +409,10 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     regions = state.select("s", "x", "n", F.lit(None).cast("long").alias("parent"))
     schema, roots = "a long, b long", _joined(None, links)
+    # two members have met as member and pivot
+    regions = _banded(_labelled(regions, roots).where("m > 2").select("s", "x", "n", "parent"), percent)
     while True:
         rest = _labelled(regions, roots)
-        # two members have met as member and pivot, unless a Voronoi level made the region
-        rest = rest.where("m > 2 or parent is not null")
         sizes = rest.groupBy("s").agg(F.sum("n").alias("weight"))
         rest = stored(rest.join(sizes, "s"), "regions")
         fits_task = (F.col("m") <= TASK_MEMBERS) & (F.col("weight") <= TASK_SHINGLES)
