@@ -2,21 +2,47 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import forget, stored
 
 
+def _forests(batches):
+    """A spanning forest of each batch of edges (a, b): stars whose middles are the smallest nodes."""
+    for batch in batches:
+        parent: dict[int, int] = {}
+
+        def find(x):
+            top = x
+            while (up := parent.get(top, top)) != top:
+                top = up
+            while (up := parent.get(x, x)) != top:
+                parent[x] = top
+                x = up
+            return top
+
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        nodes = list(parent)
+        yield pa.record_batch({"a": pa.array(nodes, pa.int64()), "b": pa.array([find(x) for x in nodes], pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b: long) is connected with; roots are left out.
 
-    Every step is a pre-aggregated minimum and an equi-join on it, so a node with
-    very many neighbours is split by AQE; nothing is collected.
+    Batches of edges are reduced to forests first.  Every step is a pre-aggregated minimum and an
+    equi-join on it, so a node with very many neighbours is split by AQE; nothing is collected.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    now = stored(edges.where("a <> b").mapInArrow(_forests, "a long, b long").where("a <> b"), "edges", 100_000)
     while True:
+        # done when every node has one smaller neighbour, which is a root
+        low = now.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("b"))
+        if low.where("low < b").isEmpty() and low.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
@@ -24,7 +50,3 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.a", "e.b")
         old, now = now, stored(small.where("a <> b").distinct(), "edges")
         forget(old)
-        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if new == mark or not new[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = new

@@ -29,7 +29,8 @@ all) isn't replicated: it meets all members of the region in blocks of bounded s
 as do members of regions that do not shrink.
 
 *Sizes.*  ``1 - min/max`` of the sizes bounds the distance from below, so regions that
-are not finished are split into overlapping bands of sizes.
+are not finished are split into overlapping bands of sizes, and of regions with the
+same members one is enough.
 
 *Families.*  Regions that share members, such as those of near copies with many
 common shingles, are joined together where all of them fit a task.
@@ -65,7 +66,7 @@ from .storage import forget, only_near, scratch, stored
 #: Part of the shingles that are counted, as a multiple of the part that a partner may lack.
 COUNTED = 1.75
 #: Members, and shingles of all of them (8 bytes each), of a region that is finished in one task; of a chunk of a larger one likewise.
-TASK_MEMBERS, TASK_SHINGLES = 2048, 1 << 20
+TASK_MEMBERS, TASK_SHINGLES = 8192, 1 << 20
 #: Pivots of a Voronoi level, and of them the part that a member's window may hold.
 PIVOTS, WIDE = 32, 0.5
 #: A region with more than this part of its parent's members does not shrink.
@@ -302,14 +303,20 @@ def _fetch(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return sets.join(wanted.select("x", "one", "two", "n"), ["one", "two"]).where(F.size("held") == F.col("n")).dropDuplicates(["one", "two", "x"]).select("x", "held")
 
 
-def _joined(roots: DataFrame | None, links: list[DataFrame]) -> DataFrame:
-    """Components of ``links`` (a, b) and of earlier ``roots`` (node, root)."""
-    total = links[0] if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    for more in links[roots is None :]:
+def _joined(links: list[DataFrame]) -> DataFrame:
+    total = links[0]
+    for more in links[1:]:
         total = total.unionByName(more)
     return components(total)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One region of those that have the same members (by two 64-bit sums over them)."""
+    marks = rows.groupBy("s").agg(F.bit_xor(F.xxhash64("x", F.lit(1))).alias("one"), F.sum(F.shiftrightunsigned(F.xxhash64("x", F.lit(2)), 8).cast("decimal(38,0)")).alias("two"), F.count(F.lit(1)).alias("k"))
+    one = marks.groupBy("one", "two", "k").agg(F.min("s").alias("s")).select("s")
+    return stored(rows.join(one, "s", "left_semi"), "once")
+
+
 def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``members`` (s, x, n, parent) of regions that hold several components, with the columns root and m."""
     rows = members.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
@@ -325,7 +332,7 @@ def _banded(rows: DataFrame, percent: int) -> DataFrame:
     return rows.withColumn("s", F.explode(F.array(F.xxhash64("s", band), F.xxhash64("s", band + 1)))).dropDuplicates(["s", "x"])
 
 
-def _families(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def _families(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Joins regions that share members in one task, so that a set moves once.  Returns the rows of regions whose family is too large, and links."""
     hubs = rows.groupBy("s").agg(F.min("x").alias("hub"))
     tied = rows.join(hubs, "s").where("x <> hub").select(F.col("x").alias("a"), F.col("hub").alias("b"))
@@ -336,7 +343,7 @@ def _families(rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame
     fits = stored(fits, "fits")
     tasks = own.join(fits, "family", "left_semi").join(sets, "x").select(F.col("family").alias("s"), "x", "root", F.lit(True).alias("open"), "held")
     links = stored(_sorted_runs(tasks, "s").mapInArrow(_finish(percent), "a long, b long"), "links", SET_ROWS)
-    return named.join(fits, "family", "left_anti").drop("family"), [links]
+    return stored(named.join(fits, "family", "left_anti").drop("family"), "rest"), links
 
 
 def _large_regions(rows: DataFrame, sets: DataFrame, percent: int, links: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -407,21 +414,26 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     same = F.size(F.array_intersect("held", "held_q"))
     links = [stored(both.withColumn("same", same).where(F.col("same") * 100 >= (F.col("n") + F.col("qn") - F.col("same")) * percent).select(F.col("x").alias("a"), F.col("q").alias("b")), "links")]
 
-    regions = state.select("s", "x", "n", F.lit(None).cast("long").alias("parent"))
-    schema, roots = "a long, b long", _joined(None, links)
+    # what is joined through one or two pivots needs no more comparisons
+    schema, first = "a long, b long", links[0].groupBy("a").agg(F.min("b").alias("b"))
+    second = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    roots = first.join(second, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("root"))
     # two members have met as member and pivot
-    regions = _banded(_labelled(regions, roots).where("m > 2").select("s", "x", "n", "parent"), percent)
+    regions = _banded(_labelled(state.select("s", "x", "n"), roots).where("m > 2").select("s", "x", "n"), percent)
+    regions = regions.withColumn("parent", F.lit(None).cast("long"))
     while True:
-        rest = _labelled(regions, roots)
+        rest = _once(_labelled(regions, roots))
+        if rest.isEmpty():
+            break
         sizes = rest.groupBy("s").agg(F.sum("n").alias("weight"))
         rest = stored(rest.join(sizes, "s"), "regions")
         fits_task = (F.col("m") <= TASK_MEMBERS) & (F.col("weight") <= TASK_SHINGLES)
-        rest, links = _families(rest, sets, percent)
+        rest, more = _families(rest, sets, percent)
+        links.append(more)
+        if rest.isEmpty():
+            break
         small = rest.where(fits_task)
-        # one region of those with the same members is enough
-        lists = small.groupBy("s").agg(F.array_sort(F.collect_set("x")).alias("xs"))
-        once = lists.groupBy("xs").agg(F.min("s").alias("s")).select("s")
-        tasks = small.join(once, "s", "left_semi").join(sets, "x").select("s", "x", "root", F.lit(True).alias("open"), "held")
+        tasks = small.join(sets, "x").select("s", "x", "root", F.lit(True).alias("open"), "held")
         links.append(stored(_sorted_runs(tasks, "s").mapInArrow(_finish(percent), schema), "links", SET_ROWS))
         large = rest.where(~fits_task)
         if large.isEmpty():
@@ -432,11 +444,10 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
         go = large.where("parent is null or m <= parent * %r" % SHRINKS)
         regions, more = _large_regions(go, sets, percent, links)
         links.append(_blocks(large.select("s", "x", "n", "root"), wide.unionByName(more), sets, percent))
-        roots = _joined(roots, links)
+        roots = _joined(links)
         regions = stored(regions.join(classes.select("x", "n"), "x").select("s", "x", "n", "parent"), "places")
 
-    if not all(more.isEmpty() for more in links):
-        roots = _joined(roots, links)
+    roots = _joined(links)
     # a class's component has the smallest id of its classes
     labelled = stored(classes.drop("first").join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x")), "labels")
     lowest = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
