@@ -19,11 +19,16 @@ LEAST_LANGUAGE_SCORE = 0.3
 PASSAGE_WORDS = 50
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the whole row in one column, so that no column's name can clash with a stage's own."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled documents teach."""
     model = language_id.train(docs.select("doc_id", "text", "lang"))
-    found = language_id.predict(docs, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found = language_id.predict(_packed(docs), model)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -57,14 +62,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand in an earlier one; a document that loses every word goes."""
-    cut = substring_dedup.substring_dedup(docs, PASSAGE_WORDS)
-    return cut.where("n_removed = 0 or n_removed < n_words").select(*docs.columns)
+    cut = substring_dedup.substring_dedup(_packed(docs), PASSAGE_WORDS).where("n_removed = 0 or n_removed < n_words")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.contaminated(docs, items).where(~F.col("is_contaminated")).select(*docs.columns)
+    return decontaminate.contaminated(_packed(docs), items).where(~F.col("is_contaminated")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
