@@ -28,8 +28,6 @@ from . import tokens
 #: Bound of the training sample: rows a language, windows a row.
 TRAIN_ROWS, TRAIN_WINDOWS = 300, 3
 WINDOW, HIDDEN, STEPS, BATCH = 64, 8, 300, 96
-#: Languages learned at most; rarer ones would need a larger state.
-MOST_LANGUAGES = 200
 
 _LETTER = re.compile(r"[^\W\d_]")
 #: Lower-cased letters and non-ASCII bytes stay, everything else reads as a space.
@@ -223,8 +221,6 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, per_row: int = TRAIN_WIND
 
     found = sorted((r.lang, bytes(r.win)) for r in sample.select("text", "lang").mapInArrow(cut, "lang string, win binary").collect())
     languages = sorted({lang for lang, _ in found})
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES} can be learned")
     if not found:
         return Model([], {})
     win = np.frombuffer(b"".join(w for _, w in found), np.uint8).reshape(-1, WINDOW)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .storage import stored
 
 KEY_BINS = 16384
-_ADDED = ("size", "source_size", "target", "epochs", "taken", "_key", "_bin")
+_ADDED = ("size", "source_size", "target", "epochs", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,16 +78,17 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, seed
     """
     docs = docs.drop(*_ADDED)
     columns = [c for c in (docs.columns if columns is None else columns) if c not in _ADDED]
+    kept = F.struct(*[F.col(c) for c in columns or ["doc_id"]])  # in one column, so that no name can clash
     rows = docs.withColumn("size", word_count(F.col("text")))
     weight = quality if quality is not None else quality_weight(F.col("text"), F.col("size"))
-    rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(weight, F.lit(0.25)))
+    key = -F.log(uniform(F.col("doc_id"), seed)) / F.coalesce(weight, F.lit(0.25))
+    rows = rows.select(kept.alias("kept"), "doc_id", "source", "size", key.alias("_key"))
     rows = rows.withColumn("_bin", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * KEY_BINS).cast("int"))
     # three steps read these rows: count words once
-    rows = stored(rows.select(*dict.fromkeys([*columns, "doc_id", "source"]), "size", "_key", "_bin"), "sized")
-    return _taken(rows, weights, most, columns)
+    return _taken(stored(rows, "sized"), weights, most)
 
 
-def _taken(rows: DataFrame, weights: Sequence[int], most: int, columns: list[str]) -> DataFrame:
+def _taken(rows: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     bins = rows.groupBy("source", "_bin").agg(F.sum("size").alias("bin_size"))
     goal = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, most)
     # a null source must join: compare null-safely on a key that is never null
@@ -100,7 +101,7 @@ def _taken(rows: DataFrame, weights: Sequence[int], most: int, columns: list[str
     plan = plan.select("_s", "_n", "_bin", "source_size", "target", "epochs", "budget", "before", F.when(F.col("before") + F.col("bin_size") <= F.col("budget"), 1).when(F.col("before") >= F.col("budget"), 0).alias("whole"))
     plan = plan.withColumn("_edge", F.col("whole").isNull())
     marked = rows.withColumns({"_s": F.coalesce(F.col("source"), F.lit("")), "_n": F.col("source").isNull()}).join(plan, ["_s", "_n", "_bin"])
-    out = [F.col(c) for c in columns]
+    out = ["kept.*"]
     settled = marked.where(~F.col("_edge")).select(*out, "size", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + F.col("whole"))).alias("taken"))
     inside = Window.partitionBy("_s", "_n", "_bin").orderBy("_key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
     edge = marked.where("_edge").withColumn("_sum", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))

@@ -259,8 +259,9 @@ def substring_dedup(docs: DataFrame, min_words: int = 13) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed", "spans")
     spans = stored(matched_spans(docs, min_words), "spans")
-    extra = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.shiftrightunsigned(F.xxhash64("text"), 33)})
-    joined = extra.join(spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).hint("shuffle_hash"), ["_id", "_th"], "left").select(*[extra[c] for c in docs.columns], "_spans")
+    # the columns travel in one, so that no name can clash
+    packed = docs.select(F.struct(*docs.columns).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64("text"), 33).alias("th"))
+    joined = packed.join(spans.hint("shuffle_hash"), ["doc_id", "th"], "left").select("kept.*", "spans")
     at = docs.columns.index("text")
 
     def run(batches):
@@ -281,7 +282,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 13) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*[T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType, True) for f in docs.schema], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", joined.schema["_spans"].dataType)])
+    schema = T.StructType([*[T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType, True) for f in docs.schema], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", joined.schema["spans"].dataType)])
     out = joined.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema)
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else out
 

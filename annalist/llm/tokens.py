@@ -8,6 +8,7 @@ which every separator class contains.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -139,15 +140,27 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a piece holds about ``most`` bytes of ``column`` at most (one row at least)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        size = _lengths(batch.column(batch.schema.get_field_index(column)))
-        group = np.cumsum(size) // most
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = _lengths(batch.column(batch.schema.get_field_index(column)))
+            group = np.cumsum(size) // most
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if b > a:
+                    yield batch.slice(a, b - a)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give memory that this worker no longer uses back to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

@@ -371,6 +371,12 @@ def _calibrate(model: Model, x: np.ndarray, toxic: np.ndarray, rising: np.ndarra
     model.pool = w
 
 
+def _window(text, doc_id):
+    """A text that is longer than the bound gives ``TRAIN_BYTES`` characters from a place that its id's hash chooses."""
+    room = F.greatest(F.lit(1), F.char_length(text) - TRAIN_BYTES + 1)
+    return F.when(F.char_length(text) <= TRAIN_BYTES, text).otherwise(F.substring(text, (F.pmod(F.xxhash64(doc_id), room) + 1).cast("int"), F.lit(TRAIN_BYTES)))
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows: int = TRAIN_ROWS) -> Model:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic); ``usable``: which label rows may be learnt from."""
     spark = docs.sparkSession
@@ -384,7 +390,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, rows
         return fit([], [])
     # 2 x rows ids at most
     ids = spark.createDataFrame(sample, "doc_id long, toxic int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(ids), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _window(F.col("text").cast("string"), F.col("doc_id")).alias("text")).join(F.broadcast(ids), "doc_id")
     found = sorted((r.doc_id, r.text.encode(), r.toxic) for r in texts.toLocalIterator())
     return fit([t for _, t, _ in found], [y > 0 for _, _, y in found])
 
