@@ -74,7 +74,7 @@ _sql("count_objects", "SELECT count(*) AS objects, count(DISTINCT sha1(text)) AS
 
 _sql("hash_object", "SELECT doc_id, sha1(concat(encode(concat('blob ', CAST(octet_length(text) AS STRING)), 'utf-8'), X'00', encode(text, 'utf-8'))) AS oid FROM documents", "SELECT doc_id, sha1(encode('blob ' || strlen(text)::VARCHAR) || '\\x00'::BLOB || encode(text)) AS oid FROM documents")  # 2.2.2, 2.2.3
 _sql("object_write_idempotent", "SELECT oid, min(doc_id) AS first, count(*) AS copies FROM (SELECT sha1(text) AS oid, doc_id FROM documents) d GROUP BY oid")  # 2.2.1
-_sql("cruft_objects", "SELECT c.id, CAST(c.day AS STRING) AS day FROM {commits} c LEFT JOIN {refs} r ON c.id = r.id LEFT JOIN {edges} e ON c.id = e.parent WHERE r.id IS NULL AND e.parent IS NULL")  # 2.2.9, 2.2.10
+_sql("cruft_objects", "SELECT c.id, CAST(c.day AS STRING) AS day FROM {commits} c LEFT JOIN {refs} r ON c.id = r.id LEFT JOIN {edges} e ON c.id = e.parent WHERE r.id IS NULL AND e.parent IS NULL")  # commits without a ref or a child; 2.2.9 and 2.2.10 are unreachable_from_tags
 _sql("ref_transaction", "SELECT r.name, r.id AS old_id, r.id + 1 AS new_id, CASE WHEN r.id % 3 = 0 THEN 'reject' ELSE 'update' END AS outcome FROM {refs} r")  # 2.2.18, 2.2.19
 
 # --- 2.3 projections -------------------------------------------------------------------------
@@ -234,7 +234,7 @@ def _walked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return edges, tips, graph.closure(edges, tips)
 
 
-@_graph("reachable", f"{_REACH} SELECT tip, id FROM walk")  # 2.5.1 to 2.5.7
+@_graph("reachable", f"{_REACH} SELECT tip, id FROM walk")  # 2.5.1, 2.5.2, 2.5.5; bodies and objects: commit_walk_bodies, object_closure
 def _(spark, sf_dir):
     return _walked(spark, sf_dir)[2].select("tip", "id")
 
@@ -362,3 +362,8 @@ def _reflog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["numstat"] = _numstat  # no SQL for an edit script: tested against a longest-common-subsequence brute force
 QUERIES["reflog_stream"] = _reflog_stream
 ORACLE_SQL["reflog_stream"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
+
+from . import more  # noqa: E402
+
+QUERIES |= more.QUERIES
+ORACLE_SQL |= more.ORACLE_SQL
