@@ -179,3 +179,8 @@ def type_changed(old: Column, new: Column) -> Column:
 
 def stage_of_flags(flags: Column) -> Column:
     return F.shiftright(flags, 12).bitwiseAND(3)
+
+
+def without_trailing_blanks(text) -> Column:
+    """``text`` without blanks and tabs at the ends of its lines."""
+    return F.regexp_replace(text, r"(?<![ \t])[ \t]++(?=\n|\z)", "")

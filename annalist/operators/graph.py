@@ -79,6 +79,14 @@ def merge_bases(edges: DataFrame, reached: DataFrame, tips: list[int]) -> DataFr
     return common.join(lower, "id", "left_anti")
 
 
+def merge_bases_with(edges: DataFrame, reached: DataFrame, one: int, others: list[int]) -> DataFrame:
+    """Best common ancestors of tip ``one`` and a commit whose parents were ``others``."""
+    rest = reached.where(F.col("tip").isin(others)).select("id")
+    common = reached.where(F.col("tip") == one).select("id").join(rest, "id", "left_semi")
+    lower = edges.join(common, F.col("child") == F.col("id")).select(F.col("parent").alias("id"))
+    return common.join(lower, "id", "left_anti")
+
+
 def ahead_behind(reached: DataFrame, left: int, right: int) -> DataFrame:
     return symmetric(reached, left, right).agg(F.count_if(F.col("side") == "<").alias("ahead"), F.count_if(F.col("side") == ">").alias("behind"))
 

@@ -82,12 +82,11 @@ _sql("ref_transaction", "SELECT r.name, r.id AS old_id, r.id + 1 AS new_id, CASE
 _sql("log_format", "SELECT id, concat(substr(oid, 1, 7), ' ', CAST(day AS STRING), ' <', CAST(author AS STRING), '> ', message) AS line FROM {commits}")  # 2.3.1, 2.3.2
 _sql("ref_format_conditional", "SELECT name, CASE WHEN name LIKE 'refs/tags/%' THEN concat('tag ', substr(name, 11)) ELSE concat('branch ', substr(name, 12)) END AS shown FROM {refs}")  # 2.3.4, 2.3.5, 2.3.18
 _sql("align_atom", "SELECT name, rpad(name, 24, ' ') AS padded_left, lpad(name, 24, ' ') AS padded_right FROM {refs}")  # 2.3.6, 2.3.10
-_sql("shell_quote", "SELECT doc_id, concat('''', replace(substr(text, 1, 80), '''', '''\\\\'''''), '''') AS quoted FROM documents", "SELECT doc_id, concat('''', replace(substr(text, 1, 80), '''', '''\\'''''), '''') AS quoted FROM documents")  # a preview of 80 characters; 2.3.8 is shell_quote_whole
-_sql("shell_quote_whole", "SELECT doc_id, concat('''', replace(coalesce(text, ''), '''', '''\\\\'''''), '''') AS quoted FROM documents", "SELECT doc_id, '''' || array_to_string(string_split(coalesce(text, ''), ''''), '''\\''''') || '''' AS quoted FROM documents")  # 2.3.8
-_LCP = " ".join(f"WHEN substr(a, 1, {n}) <> substr(b, 1, {n}) THEN {n}" for n in range(1, 13))
+_sql("shell_quote", "SELECT doc_id, concat('''', replace(coalesce(text, ''), '''', '''\\\\'''''), '''') AS quoted FROM documents", "SELECT doc_id, '''' || array_to_string(string_split(coalesce(text, ''), ''''), '''\\''''') || '''' AS quoted FROM documents")  # 2.3.8
+_LCP = " ".join(f"WHEN substr(a, 1, {n}) <> substr(b, 1, {n}) THEN {n}" for n in range(1, 40))
 _sql("oid_abbrev", f"""
 SELECT oid, substr(oid, 1, greatest(4, greatest(p, q))) AS abbrev FROM (
-  SELECT oid, (CASE WHEN prev IS NULL THEN 1 {_LCP.replace('substr(a', 'substr(oid').replace('substr(b', 'substr(prev')} ELSE 13 END) AS p, (CASE WHEN next IS NULL THEN 1 {_LCP.replace('substr(a', 'substr(oid').replace('substr(b', 'substr(next')} ELSE 13 END) AS q FROM (
+  SELECT oid, (CASE WHEN prev IS NULL THEN 1 {_LCP.replace('substr(a', 'substr(oid').replace('substr(b', 'substr(prev')} ELSE 40 END) AS p, (CASE WHEN next IS NULL THEN 1 {_LCP.replace('substr(a', 'substr(oid').replace('substr(b', 'substr(next')} ELSE 40 END) AS q FROM (
     SELECT oid, lag(oid) OVER (PARTITION BY substr(oid, 1, 1) ORDER BY oid) AS prev, lead(oid) OVER (PARTITION BY substr(oid, 1, 1) ORDER BY oid) AS next FROM {{commits}}) w) x""")  # 2.3.16, 2.7.2
 _sql("short_refname", """
 SELECT r.name, CASE WHEN t.short IS NULL OR r.name LIKE 'refs/tags/%' THEN r.short ELSE concat('heads/', r.short) END AS short FROM (
@@ -146,12 +145,16 @@ SELECT coalesce(h.path, s.path, w.path) AS path, CASE
   WHEN s.oid IS NOT DISTINCT FROM w.oid THEN 'same' WHEN h.oid IS NOT DISTINCT FROM s.oid THEN 'theirs' WHEN h.oid IS NOT DISTINCT FROM w.oid THEN 'ours'
   WHEN s.oid IS NULL OR w.oid IS NULL THEN 'modify/delete' WHEN h.oid IS NULL THEN 'add/add' ELSE 'content' END AS outcome
 FROM {head} h FULL OUTER JOIN {staged} s ON h.path = s.path FULL OUTER JOIN {worktree} w ON coalesce(h.path, s.path) = w.path""")  # 2.5.46, 2.5.49
-_sql("exact_rename", """
-SELECT src, dst FROM (SELECT d.path AS src, a.path AS dst, row_number() OVER (PARTITION BY a.path ORDER BY d.path) AS r FROM
-  (SELECT h.path, h.oid FROM {head} h LEFT JOIN {staged} s ON h.path = s.path WHERE s.path IS NULL) d JOIN
-  (SELECT s.path, s.oid FROM {staged} s LEFT JOIN {head} h ON h.path = s.path WHERE h.path IS NULL) a ON d.oid = a.oid) p WHERE r = 1""")  # 2.5.38
+_GONE = "SELECT h.path, h.oid FROM {head} h LEFT JOIN {staged} s ON h.path = s.path WHERE s.path IS NULL"
+_NEW = "SELECT s.path, s.oid FROM {staged} s LEFT JOIN {head} h ON h.path = s.path WHERE h.path IS NULL"
+# a deleted path serves one added path: the k-th of an object's deleted paths the k-th of its added ones
+_sql("exact_rename", f"""
+SELECT d.path AS src, a.path AS dst FROM (SELECT path, oid, row_number() OVER (PARTITION BY oid ORDER BY path) AS k FROM ({_GONE}) g) d
+JOIN (SELECT path, oid, row_number() OVER (PARTITION BY oid ORDER BY path) AS k FROM ({_NEW}) n) a ON d.oid = a.oid AND d.k = a.k""", f"""
+SELECT unnest(list_slice(d.paths, 1, least(len(d.paths), len(a.paths)))) AS src, unnest(list_slice(a.paths, 1, least(len(d.paths), len(a.paths)))) AS dst
+FROM (SELECT oid, list(path ORDER BY path) AS paths FROM ({_GONE}) g GROUP BY oid) d JOIN (SELECT oid, list(path ORDER BY path) AS paths FROM ({_NEW}) n GROUP BY oid) a ON d.oid = a.oid""")  # 2.5.38
 _sql("exact_copy", "SELECT s.path AS dst, min(h.path) AS src FROM {staged} s JOIN {head} h ON s.oid = h.oid AND s.path <> h.path GROUP BY s.path")  # 2.5.39
-_sql("reflog_at_date", "SELECT ref, max_by(new_id, nth) AS oldest, min_by(new_id, nth) AS newest, count(*) AS n FROM {reflog} GROUP BY ref")  # oldest and newest entries; the as-of of 2.5.52 is reflog_as_of
+_sql("reflog_ends", "SELECT ref, max_by(new_id, nth) AS oldest, min_by(new_id, nth) AS newest, count(*) AS n FROM {reflog} GROUP BY ref")  # oldest and newest entries
 # the newest entry up to the date; null for a ref whose log starts later
 _sql("reflog_as_of", """
 SELECT ref, max_by(new_id, CASE WHEN ts <= TIMESTAMP '2024-01-15 12:00:00' THEN -nth END) AS id, count(CASE WHEN ts <= TIMESTAMP '2024-01-15 12:00:00' THEN 1 END) AS n FROM {reflog} GROUP BY ref""", """
@@ -169,9 +172,8 @@ _sql("ref_check", "SELECT r.name, CASE WHEN c.id IS NULL THEN 'missing' ELSE 'ok
 _sql("ref_map", "SELECT name AS src, concat('refs/remotes/origin/', substr(name, 12)) AS dst, id FROM {refs} WHERE name LIKE 'refs/heads/%'")  # 2.5.64
 _sql("push_plan", "SELECT coalesce(l.name, r.name) AS name, r.id AS old_id, l.id AS new_id, CASE WHEN l.name IS NULL THEN 'delete' WHEN r.name IS NULL THEN 'create' WHEN l.id <> r.id THEN 'update' ELSE 'same' END AS action FROM (SELECT name, id FROM {refs} WHERE id % 4 <> 0) l FULL OUTER JOIN (SELECT name, id - (id % 3) AS id FROM {refs} WHERE id % 5 <> 0) r ON l.name = r.name")  # 2.5.65
 _sql("children", "SELECT parent, count(*) AS n, min(child) AS first, max(child) AS last FROM {edges} GROUP BY parent")  # 2.5.30
-_sql("cherry_marks", "SELECT l.doc_id, CASE WHEN r.oid IS NULL THEN '+' ELSE '-' END AS mark FROM (SELECT doc_id, sha1(replace(text, ' ', '')) AS oid FROM documents WHERE doc_id % 2 = 0) l LEFT JOIN (SELECT DISTINCT sha1(replace(text, ' ', '')) AS oid FROM documents WHERE doc_id % 2 = 1) r ON l.oid = r.oid")  # one side only; 2.5.31 and 2.5.32 are cherry_marks_both
 _PATCHES = "(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '<' ELSE '>' END AS side, sha1(replace(text, ' ', '')) AS oid FROM documents)"
-_sql("cherry_marks_both", f"""
+_sql("cherry_marks", f"""
 SELECT p.doc_id, p.side, CASE WHEN b.oid IS NULL THEN '+' ELSE '=' END AS mark FROM {_PATCHES} p
 LEFT JOIN (SELECT oid FROM {_PATCHES} q GROUP BY oid HAVING min(side) <> max(side)) b ON p.oid = b.oid""", f"SELECT doc_id, side, CASE WHEN EXISTS (SELECT 1 FROM {_PATCHES} q WHERE q.oid = p.oid AND q.side <> p.side) THEN '=' ELSE '+' END AS mark FROM {_PATCHES} p")  # 2.5.31, 2.5.32
 _sql("notes_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS annotated, CASE WHEN a.doc_id IS NULL THEN 'theirs' WHEN b.doc_id IS NULL THEN 'ours' WHEN a.quality = b.toxic THEN 'same' ELSE 'union' END AS outcome FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0) a FULL OUTER JOIN (SELECT doc_id, toxic FROM labels WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id")  # 2.5.51
@@ -179,17 +181,17 @@ _sql("notes_merge", "SELECT coalesce(a.doc_id, b.doc_id) AS annotated, CASE WHEN
 # --- 2.6 aggregates --------------------------------------------------------------------------
 
 _sql("shortlog", "SELECT u.c_name AS author, count(*) AS n, min(c.id) AS first, max(c.id) AS last FROM {commits} c JOIN customer u ON c.author = u.c_custkey GROUP BY u.c_name")  # 2.6.1
-_sql("shortlog_numbered", "SELECT author, n FROM (SELECT author, count(*) AS n FROM {commits} GROUP BY author) s ORDER BY n DESC, author LIMIT 20")  # a top 20; 2.6.2 is shortlog_numbered_all
 # ranks: rows of greater counts, then of lower buckets of authors, then inside the bucket, so no window holds all authors
-_sql("shortlog_numbered_all", """
+_sql("shortlog_numbered", """
 WITH s AS (SELECT author, floor(author / 1000) AS part, count(*) AS n FROM {commits} GROUP BY author),
 h AS (SELECT n, part, sum(rows) OVER (ORDER BY n DESC, part NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - rows AS before FROM (SELECT n, part, count(*) AS rows FROM s GROUP BY n, part) c)
 SELECT s.author, s.n, h.before + row_number() OVER (PARTITION BY s.n, s.part ORDER BY s.author) AS rank FROM s JOIN h ON s.n = h.n AND s.part <=> h.part""", "SELECT author, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, author NULLS LAST) AS rank FROM {commits} GROUP BY author")  # 2.6.2
 _sql("shortstat", "SELECT commit_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS insertions FROM {trees} GROUP BY commit_id")  # 2.6.5, 2.6.6
+# sizes are summed by directory before anything else; the total is one row
 _sql("dirstat_cumulative", """
-SELECT dir, CAST(sum(size) AS BIGINT) AS damage, CAST(floor(sum(size) * 1000 / max(total)) AS BIGINT) AS permille FROM (
-  SELECT concat(split(path, '/')[0], '/') AS dir, size, sum(size) OVER () AS total FROM {trees} UNION ALL
-  SELECT concat(split(path, '/')[0], '/', split(path, '/')[1], '/'), size, sum(size) OVER () FROM {trees}) d GROUP BY dir""", """
+WITH low AS (SELECT substring_index(path, '/', 2) AS dir, sum(size) AS size FROM {trees} GROUP BY 1),
+d AS (SELECT concat(dir, '/') AS dir, size FROM low UNION ALL SELECT concat(substring_index(dir, '/', 1), '/'), size FROM low)
+SELECT dir, CAST(sum(size) AS BIGINT) AS damage, CAST(floor(sum(size) * 1000 / (SELECT sum(size) FROM low)) AS BIGINT) AS permille FROM d GROUP BY dir""", """
 SELECT dir, sum(size)::BIGINT AS damage, floor(sum(size) * 1000 / max(total))::BIGINT AS permille FROM (
   SELECT concat(split(path, '/')[1], '/') AS dir, size, sum(size) OVER () AS total FROM {trees} UNION ALL
   SELECT concat(split(path, '/')[1], '/', split(path, '/')[2], '/'), size, sum(size) OVER () FROM {trees}) d GROUP BY dir""")  # 2.6.8
@@ -204,12 +206,19 @@ _sql("line_numbers", "SELECT doc_id, count(*) AS n, max(n) AS last FROM {lines}
 _sql("newest_commits", "SELECT id, CAST(day AS STRING) AS day FROM {commits} ORDER BY day DESC, id LIMIT 25")  # 2.8.4, 2.8.6
 _sql("oldest_commits", "SELECT id, CAST(day AS STRING) AS day FROM {commits} ORDER BY day, id LIMIT 25")  # 2.8.16
 _sql("refs_page", "SELECT name, id FROM {refs} WHERE name > 'refs/heads/2' ORDER BY name LIMIT 20")  # 2.8.11
-_sql("refs_sorted_top", "SELECT r.name, c.priority FROM {refs} r JOIN {commits} c ON r.id = c.id ORDER BY c.priority, r.name DESC LIMIT 30")  # a top 30; 2.8.8 and 2.8.9 are refs_sorted_all
-_sql("refs_sorted_all", """
+_sql("refs_sorted", """
 WITH s AS (SELECT r.name, substr(r.name, 1, 13) AS part, c.priority FROM {refs} r JOIN {commits} c ON r.id = c.id),
 h AS (SELECT priority, part, sum(rows) OVER (ORDER BY priority NULLS LAST, part DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - rows AS before FROM (SELECT priority, part, count(*) AS rows FROM s GROUP BY priority, part) c)
 SELECT s.name, s.priority, h.before + row_number() OVER (PARTITION BY s.priority, s.part ORDER BY s.name DESC) AS rank FROM s JOIN h ON s.priority <=> h.priority AND s.part <=> h.part""", "SELECT r.name, c.priority, row_number() OVER (ORDER BY c.priority NULLS LAST, r.name DESC) AS rank FROM {refs} r JOIN {commits} c ON r.id = c.id")  # 2.8.8, 2.8.9
-_sql("tree_order", "SELECT path, row_number() OVER (PARTITION BY k ORDER BY concat(path, '/')) AS pos FROM (SELECT DISTINCT path, substr(path, 1, 8) AS k FROM {trees}) t")  # 2.8.12
+# entries of each tree; the name of a subtree sorts as if it ended in a slash
+_sql("tree_order", """
+SELECT tree, name, row_number() OVER (PARTITION BY tree ORDER BY k) AS pos FROM (
+  SELECT DISTINCT e.tree, e.name, concat(e.name, CASE WHEN e.deep THEN '/' ELSE '' END) AS k FROM (
+    SELECT inline(transform(sequence(1, size(split(path, '/'))), i -> struct(substring_index(path, '/', i - 1) AS tree, split(path, '/')[i - 1] AS name, i < size(split(path, '/')) AS deep))) FROM {trees}) e) t""", """
+WITH e AS (SELECT DISTINCT '' AS tree, split_part(path, '/', 1) AS name, split_part(path, '/', 1) || '/' AS k FROM {trees} UNION ALL
+  SELECT DISTINCT split_part(path, '/', 1), split_part(path, '/', 2), split_part(path, '/', 2) || '/' FROM {trees} UNION ALL
+  SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), split_part(path, '/', 3), split_part(path, '/', 3) FROM {trees})
+SELECT a.tree, a.name, count(*) AS pos FROM e a JOIN e b ON a.tree = b.tree AND b.k <= a.k GROUP BY a.tree, a.name""")  # 2.8.12
 
 # --- 2.10 to 2.12 scalar functions -----------------------------------------------------------
 

@@ -230,6 +230,70 @@ def unreachable_from_tags(spark, sf_dir):
     return history.unreachable(_commits(spark, sf_dir), P.table(spark, sf_dir, "edges"), roots).select("id")
 
 
+# --- sets of tips and names: 2.5.15, 2.5.63, 2.9.1, 2.9.5 ---------------------------------------
+
+
+@_query(f"{_REACH} SELECT DISTINCT id FROM walk")
+def tips_union(spark, sf_dir):
+    return _walked(spark, sf_dir)[2].select("id").distinct()
+
+
+@_query(f"{_REACH} SELECT id FROM walk WHERE tip = 1 INTERSECT SELECT id FROM walk WHERE tip = 2 INTERSECT SELECT id FROM walk WHERE tip = 3")
+def tips_intersection(spark, sf_dir):
+    found = _walked(spark, sf_dir)[2].where("tip in (1, 2, 3)").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return found.where("n = 3").select("id")
+
+
+@_query(f"""{_REACH}, c AS (SELECT DISTINCT id FROM walk WHERE tip = 1 AND id IN (SELECT id FROM walk WHERE tip IN (2, 3))),
+low AS (SELECT c.id AS top, c.id FROM c UNION SELECT low.top, e.parent FROM low JOIN {{edges}} e ON e.child = low.id)
+SELECT id FROM c WHERE id NOT IN (SELECT id FROM low WHERE id <> top)""")
+def merge_base_many(spark, sf_dir):
+    """Best common ancestors of one tip and a merge that would be made of two others."""
+    edges, _, reached = _walked(spark, sf_dir)
+    return graph.merge_bases_with(edges, reached, 1, [2, 3])
+
+
+@_query("""WITH n AS (SELECT name FROM {refs} UNION SELECT name || '/wip/a' FROM {refs} WHERE id % 3 = 0 UNION SELECT name || '/wip' FROM {refs} WHERE id % 6 = 0)
+SELECT a.name AS file, b.name AS below FROM n a JOIN n b ON split_part(a.name, '/', 3) = split_part(b.name, '/', 3) AND starts_with(b.name, a.name || '/')""")
+def ref_path_conflicts(spark, sf_dir):
+    """Names that are a directory of another name: each name meets its own prefixes by an equi-join."""
+    refs = P.table(spark, sf_dir, "refs")
+    deep = refs.where("id % 3 = 0").select(F.concat("name", F.lit("/wip/a")).alias("name"))
+    names = refs.select("name").unionByName(deep).unionByName(refs.where("id % 6 = 0").select(F.concat("name", F.lit("/wip")).alias("name"))).distinct()
+    cuts = F.expr("transform(sequence(1, size(split(name, '/')) - 1), i -> substring_index(name, '/', i))")
+    above = names.where("name like '%/%'").select(F.col("name").alias("below"), F.explode(cuts).alias("name"))
+    return names.join(above, "name").select(F.col("name").alias("file"), "below")
+
+
+# --- texts and paths: 2.4.32, 2.10.13, 2.10.18 --------------------------------------------------
+
+
+@_query("SELECT DISTINCT path FROM {trees} WHERE path LIKE 'Brand#1%' AND split_part(path, '/', 3) = '' UNION SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) FROM {trees} WHERE path LIKE 'Brand#1%'")
+def paths_to_depth(spark, sf_dir):
+    """Files and directories at most one level below the directories that a pathspec names; deeper paths fold into theirs."""
+    found = _paths(spark, sf_dir).where(pattern.pathspec(["Brand#1*"], F.col("path")))
+    return found.select(F.substring_index("path", "/", 2).alias("path")).distinct()
+
+
+@_query("SELECT d.doc_id, l.text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(rtrim(line, ' ' || chr(9)), chr(10) ORDER BY n) AS text FROM {lines} GROUP BY doc_id) l ON l.doc_id = d.doc_id")
+def whitespace_fixed(spark, sf_dir):
+    return P.base(spark, sf_dir, "documents").select("doc_id", messages.without_trailing_blanks("text").alias("text"))
+
+
+@_query("""SELECT h.doc_id, h.n, arg_max(f.line, f.n) AS heading FROM {lines} h LEFT JOIN {lines} f ON f.doc_id = h.doc_id AND f.n < h.n AND regexp_matches(f.line, '^[A-Za-z_$]')
+WHERE contains(h.line, 'License') GROUP BY h.doc_id, h.n""")
+def hunk_headings(spark, sf_dir):
+    """For each hit the last line above it that begins like a definition."""
+    from pyspark.sql import Window
+
+    above = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    rows = P.table(spark, sf_dir, "lines")
+    has = rows.where(F.contains("line", F.lit("License"))).select("doc_id").distinct()
+    begun = F.when(F.col("line").rlike("^[A-Za-z_$]"), F.col("line"))
+    seen = rows.join(has, "doc_id", "left_semi").withColumn("heading", F.last(begun, ignorenulls=True).over(above))
+    return seen.where(F.contains("line", F.lit("License"))).select("doc_id", "n", "heading")
+
+
 # --- content: 2.5.32, 2.5.40, 2.5.43, 2.5.54, 2.13.2, 2.13.4, 2.13.7 -------------------------------
 
 
