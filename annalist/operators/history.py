@@ -138,3 +138,51 @@ def renames(deleted: DataFrame, added: DataFrame, least: int = 50, within: Colum
     scored = same.withColumn("score", F.least(F.lit(100), F.floor(F.col("same") * 100 / F.greatest(F.col("old_size") + 1, F.col("new_size") + 1))).cast("int")).where(F.col("score") >= least)
     best = scored.groupBy("new").agg(F.min(F.struct((-F.col("score")).alias("k"), "old", "score")).alias("b"))
     return best.select("b.old", "new", "b.score")
+
+
+def fork_points(edges: DataFrame, tips: DataFrame, past: DataFrame) -> DataFrame:
+    """(tip, id): the only best common ancestor of a tip (tip, id) and a merge of all ``past`` values (id) of a ref, if it is one of them; ids are positive."""
+    top = F.lit(-1).cast("long")  # the merge of the past values
+    above = edges.select("child", "parent", "ord").unionByName(past.select(top.alias("child"), F.col("id").alias("parent"), F.lit(0).alias("ord")).distinct())
+    merged = edges.sparkSession.createDataFrame([(-1, -1)], "tip long, id long")
+    reached = graph.closure(above, tips.select(F.col("tip").cast("long").alias("tip"), "id").unionByName(merged)).select("tip", "id")
+    common = reached.where("tip <> -1").join(reached.where("tip = -1 and id <> -1").select("id"), "id", "left_semi")
+    lower = common.join(edges, F.col("id") == F.col("child")).select("tip", F.col("parent").alias("id"))
+    best = common.join(lower, ["tip", "id"], "left_anti").groupBy("tip").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    return best.where("n = 1").select("tip", "id").join(past.select("id"), "id", "left_semi").select("tip", "id")
+
+
+def branch_flags(edges: DataFrame, reached: DataFrame, tips: list[int]) -> DataFrame:
+    """(id, flags): a sign for each of up to 63 tips that reach a commit; of commits that all reach only the best ones."""
+    rows = reached.where(F.col("tip").isin(tips))
+    held = rows.groupBy("id").agg(*(F.max(F.col("tip") == t).alias(f"t{t}") for t in tips))
+    all_ = held.where(" and ".join(f"t{t}" for t in tips)).select("id")
+    lower = edges.join(all_, F.col("child") == F.col("id")).select(F.col("parent").alias("id"))
+    return held.join(lower, "id", "left_anti").select("id", F.concat(*(F.when(F.col(f"t{t}"), "+").otherwise(" ") for t in tips)).alias("flags"))
+
+
+def rewritten_parents(edges: DataFrame, kept: DataFrame, first_parent: bool = True) -> DataFrame:
+    """(child, parent): for each kept commit (id) the nearest kept ancestors; commits between them are left out.
+
+    With all parents, a commit's walk holds the whole dropped history up to the next kept ones.
+    """
+    used = edges.where("ord = 0") if first_parent else edges
+    start = used.join(kept, F.col("child") == F.col("id"), "left_semi").select(F.col("child").alias("tip"), F.col("parent").alias("id"))
+    dropped = used.join(kept, F.col("child") == F.col("id"), "left_anti")
+    return graph.closure(dropped, start).join(kept, "id", "left_semi").select(F.col("tip").alias("child"), F.col("id").alias("parent")).distinct()
+
+
+def peeled(tags: DataFrame) -> DataFrame:
+    """(id, target): what each tag (id, target) stands for after all tags that point at tags; null for tags that lead into a cycle.
+
+    Pointers are doubled each round, so a chain of n tags takes log2(n) rounds of one equi-join.
+    """
+    now = graph._checkpointed(tags.select(F.col("id"), F.col("target").alias("at")))
+    for _ in range(max(1, now.count()).bit_length() + 1):
+        step = now.select(F.col("id").alias("at"), F.col("at").alias("after"))
+        joined = now.join(step, "at", "left")
+        if joined.where("after is not null").isEmpty():
+            return now.select("id", F.col("at").alias("target"))
+        now = graph._checkpointed(joined.select("id", F.coalesce("after", "at").alias("at")))
+    ring = now.select(F.col("id").alias("at"), F.lit(True).alias("ring"))
+    return now.join(ring, "at", "left").select("id", F.when(F.col("ring").isNull(), F.col("at")).alias("target"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import dates, format, messages, pattern, text_diff
-from annalist.operators import graph, history
+from annalist.operators import graph, history, trees
 
 from . import projection as P
 
@@ -337,3 +337,90 @@ def blame_threads(spark, sf_dir):
     """For each line of a conversation's last turn, the turn since which it stands; tested on hand-made versions."""
     turns = P.base(spark, sf_dir, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("version"), "text")
     return history.blame(turns)
+
+
+# --- walks and trees: 2.5.18, 2.5.25, 2.5.29, 2.5.30, 2.5.68, 2.5.58, 2.5.60, 2.5.47, 2.5.48 ----------
+
+
+@_query(f"""{_REACH}, past AS (SELECT id FROM {{commits}} WHERE author IN (SELECT c.author FROM {{commits}} c JOIN {{tips}} t ON t.id = c.id WHERE t.tip = 2)),
+old AS (SELECT id FROM past UNION SELECT e.parent FROM old JOIN {{edges}} e ON old.id = e.child),
+c AS (SELECT tip, id FROM walk WHERE id IN (SELECT id FROM old)),
+best AS (SELECT tip, id, count(*) OVER (PARTITION BY tip) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM {{edges}} e JOIN c d ON e.child = d.id WHERE d.tip = c.tip AND e.parent = c.id))
+SELECT tip, id FROM best WHERE n = 1 AND id IN (SELECT id FROM past)""")
+def fork_point(spark, sf_dir):
+    """Where each tip left the branch of tip 2, whose past values are its author's commits."""
+    edges, tips = P.table(spark, sf_dir, "edges"), P.table(spark, sf_dir, "tips")
+    commits = P.table(spark, sf_dir, "commits")
+    author = commits.join(tips.where("tip = 2"), "id", "left_semi").select("author")
+    return history.fork_points(edges, tips, commits.join(author, "author", "left_semi").select("id"))
+
+
+@_query(f"""{_REACH}, c AS (SELECT id, string_agg(tip::VARCHAR, '' ORDER BY tip) AS t FROM (SELECT DISTINCT tip, id FROM walk WHERE tip <= 3) w GROUP BY id)
+SELECT id, CASE t WHEN '1' THEN '+  ' WHEN '2' THEN ' + ' WHEN '3' THEN '  +' WHEN '12' THEN '++ ' WHEN '13' THEN '+ +' WHEN '23' THEN ' ++' ELSE '+++' END AS flags
+FROM c WHERE id NOT IN (SELECT e.parent FROM {{edges}} e JOIN c d ON d.id = e.child WHERE d.t = '123')""")
+def show_branch(spark, sf_dir):
+    edges, _, reached = _walked(spark, sf_dir)
+    return history.branch_flags(edges, reached, [1, 2, 3])
+
+
+@_query(f"""{_REACH}, s AS (SELECT id FROM walk WHERE tip = 1 EXCEPT SELECT id FROM walk WHERE tip = 2), b AS (SELECT e.parent AS id FROM {{edges}} e JOIN s ON e.child = s.id EXCEPT SELECT id FROM s),
+o AS (SELECT id, oid, 'commit' AS type FROM {{commits}} UNION ALL SELECT commit_id, oid, 'blob' FROM {{trees}})
+SELECT oid, type FROM o WHERE id IN (SELECT id FROM s) EXCEPT SELECT oid, type FROM o WHERE id IN (SELECT id FROM b)""")
+def objects_edge(spark, sf_dir):
+    """Objects of a range without those that its boundary commits hold."""
+    edges, _, reached = _walked(spark, sf_dir)
+    inside = graph.difference(reached, [1], [2])
+    return history.object_closure(inside, _commits(spark, sf_dir), P.table(spark, sf_dir, "trees"), graph.boundary(edges, inside))
+
+
+@_query("""WITH RECURSIVE up AS (SELECT child, parent AS id FROM {edges} WHERE ord = 0 AND child IN (SELECT id FROM {refs})
+  UNION SELECT up.child, e.parent FROM up JOIN {edges} e ON e.child = up.id AND e.ord = 0 WHERE up.id NOT IN (SELECT id FROM {refs}))
+SELECT child, id AS parent FROM up WHERE id IN (SELECT id FROM {refs})""")
+def simplified_by_decoration(spark, sf_dir):
+    """Commits that a ref names, with their next such ancestor on the line of first parents."""
+    return history.rewritten_parents(P.table(spark, sf_dir, "edges"), P.table(spark, sf_dir, "refs").select("id").distinct())
+
+
+_TAG_PAST = "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE lag(id) OVER (PARTITION BY author ORDER BY day, id) END AS before FROM {commits} WHERE priority = '1-URGENT'"
+
+
+@_query(f"""WITH RECURSIVE t AS (SELECT id, before FROM ({_TAG_PAST}) a), up AS (SELECT id, id AS at FROM t UNION SELECT up.id, t.before FROM up JOIN t ON t.id = up.at WHERE t.before IS NOT NULL)
+SELECT up.id, 'commit ' || up.at AS target FROM up JOIN t ON t.id = up.at WHERE t.before IS NULL""")
+def peeled_tags(spark, sf_dir):
+    """Each urgent commit has a tag; two thirds of them point at the author's tag before."""
+    tags = P.run(spark, sf_dir, _TAG_PAST)
+    name = lambda kind, c: F.concat(F.lit(kind + " "), F.col(c).cast("string"))
+    named = tags.select(name("tag", "id").alias("id"), F.coalesce(name("tag", "before"), name("commit", "id")).alias("target"))
+    return history.peeled(named).select(F.substring_index("id", " ", -1).cast("long").alias("id"), "target")
+
+
+@_query("""WITH a AS (SELECT r.name, r.id, min(t.path) AS file FROM {refs} r JOIN {trees} t ON t.commit_id = r.id GROUP BY r.name, r.id),
+q AS (SELECT name, id, file AS path FROM a UNION ALL SELECT name, id, split_part(file, '/', 1) FROM a UNION ALL SELECT name, id, file || '/x' FROM a)
+SELECT q.name, q.path, CASE WHEN count(t.path) = 0 THEN 'missing' WHEN max(t.path = q.path) THEN 'blob' ELSE 'tree' END AS type, min(CASE WHEN t.path = q.path THEN t.oid END) AS oid, count(t.path) AS entries
+FROM q LEFT JOIN {trees} t ON t.commit_id = q.id AND (t.path = q.path OR starts_with(t.path, q.path || '/')) GROUP BY q.name, q.path""")
+def tree_paths(spark, sf_dir):
+    """ref:path for the first file of each ref's tree, its top directory, and a path below the file."""
+    refs, files = P.table(spark, sf_dir, "refs"), P.table(spark, sf_dir, "trees")
+    first = files.groupBy(F.col("commit_id")).agg(F.min("path").alias("file")).join(refs.withColumnRenamed("id", "commit_id"), "commit_id")
+    asked = first.select("name", "commit_id", F.explode(F.array("file", F.substring_index("file", "/", 1), F.concat("file", F.lit("/x")))).alias("path"))
+    return trees.resolved(asked, files).select("name", "path", "type", "oid", "entries")
+
+
+@_query("""SELECT path, CASE WHEN path NOT IN (SELECT path FROM {head}) THEN 'remove' WHEN (path, oid, mode) IN (SELECT (path, oid, mode) FROM {head}) THEN 'keep' ELSE 'update' END AS action FROM {staged}
+UNION ALL SELECT path, 'update' FROM {head} WHERE path NOT IN (SELECT path FROM {staged})""")
+def unpack_one_way(spark, sf_dir):
+    return trees.unpack_one_way(P.table(spark, sf_dir, "staged"), P.table(spark, sf_dir, "head"))
+
+
+@_query("""WITH p AS (SELECT doc_id AS path FROM documents),
+v AS (SELECT p.path, i.oid || i.mode AS i, h.oid || h.mode AS h, m.oid || m.mode AS m, p.path % 11 = 0 AS dirty FROM p LEFT JOIN {staged} i ON i.path = p.path LEFT JOIN {head} h ON h.path = p.path LEFT JOIN {worktree} m ON m.path = p.path)
+SELECT path, 'update' AS action FROM v WHERE (i IS NULL AND h IS NULL AND m IS NOT NULL) OR (i = h AND h <> m AND NOT dirty)
+UNION ALL SELECT path, 'remove' FROM v WHERE (i IS NULL AND h IS NOT NULL AND m IS NULL) OR (i = h AND m IS NULL AND NOT dirty)
+UNION ALL SELECT path, 'keep' FROM v WHERE (i IS NULL AND h = m) OR (i IS NOT NULL AND (h = m OR i = m OR (h IS NULL AND m IS NULL)))
+UNION ALL SELECT path, 'fail' FROM v WHERE (i IS NULL AND h <> m) OR (i = h AND dirty AND (m IS NULL OR h <> m))
+  OR (i IS NOT NULL AND ((h IS NULL AND i <> m) OR (h <> i AND m IS NULL) OR (h <> i AND h <> m AND i <> m)))""")
+def unpack_two_way(spark, sf_dir):
+    """From head to the worktree's state through the staged entries; every eleventh file counts as changed."""
+    t = lambda name: P.table(spark, sf_dir, name)
+    dirty = P.base(spark, sf_dir, "documents").where("doc_id % 11 = 0").select(F.col("doc_id").alias("path"))
+    return trees.unpack_two_way(t("staged"), t("head"), t("worktree"), dirty)
