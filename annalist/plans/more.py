@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import dates, format, messages, pattern, text_diff
-from annalist.operators import graph, history, trees
+from annalist.operators import graph, history, refs, trees
 
 from . import projection as P
 
@@ -424,3 +424,53 @@ def unpack_two_way(spark, sf_dir):
     t = lambda name: P.table(spark, sf_dir, name)
     dirty = P.base(spark, sf_dir, "documents").where("doc_id % 11 = 0").select(F.col("doc_id").alias("path"))
     return trees.unpack_two_way(t("staged"), t("head"), t("worktree"), dirty)
+
+
+# --- refs and paths: 2.1.28, 2.5.22, 2.5.65, 2.5.66 ---------------------------------------------
+
+
+@_query("""WITH g AS (SELECT commit_id, string_agg(path || oid || mode::VARCHAR, ';' ORDER BY path, oid, mode) AS t FROM {trees} WHERE path LIKE 'Brand#1%' GROUP BY commit_id),
+k AS (SELECT c.id FROM {commits} c LEFT JOIN {edges} e ON e.child = c.id AND e.ord = 0 LEFT JOIN g a ON a.commit_id = c.id LEFT JOIN g b ON b.commit_id = e.parent WHERE coalesce(a.t, '') <> coalesce(b.t, '')),
+up AS (SELECT child, parent AS id FROM {edges} WHERE ord = 0 AND child IN (SELECT id FROM k)), r AS (WITH RECURSIVE w AS (SELECT child, id FROM up UNION SELECT w.child, e.parent FROM w JOIN {edges} e ON e.child = w.id AND e.ord = 0 WHERE w.id NOT IN (SELECT id FROM k)) SELECT * FROM w)
+SELECT k.id, r.id AS parent FROM k LEFT JOIN r ON r.child = k.id AND r.id IN (SELECT id FROM k)""")
+def path_history(spark, sf_dir):
+    """The line of first parents simplified to commits that change paths of a pathspec, with their rewritten parents."""
+    files = P.table(spark, sf_dir, "trees").where(pattern.pathspec(["Brand#1*"], F.col("path")))
+    edges = P.table(spark, sf_dir, "edges")
+    kept = trees.changed_from_parent(files, edges, P.table(spark, sf_dir, "commits"))
+    parents = history.rewritten_parents(edges, kept)
+    return kept.join(parents, F.col("id") == F.col("child"), "left").select("id", "parent")
+
+
+_UPDATES = """
+SELECT concat('kept/', CAST(tip AS STRING)) AS name, id AS old, id AS new FROM {tips} UNION ALL SELECT concat('new/', CAST(tip AS STRING)) AS name, CAST(NULL AS BIGINT) AS old, id AS new FROM {tips}
+UNION ALL SELECT concat('gone/', CAST(tip AS STRING)) AS name, id AS old, CAST(NULL AS BIGINT) AS new FROM {tips}
+UNION ALL SELECT concat('next/', CAST(t.tip AS STRING), '/', CAST(e.ord AS STRING)) AS name, e.parent AS old, t.id AS new FROM {tips} t JOIN {edges} e ON e.child = t.id
+UNION ALL SELECT concat('back/', CAST(t.tip AS STRING), '/', CAST(e.ord AS STRING)) AS name, t.id AS old, e.parent AS new FROM {tips} t JOIN {edges} e ON e.child = t.id"""
+
+
+@_query(f"""WITH RECURSIVE u AS ({_UPDATES}), w AS (SELECT new AS tip, new AS id FROM u WHERE new IS NOT NULL UNION SELECT w.tip, e.parent FROM w JOIN {{edges}} e ON e.child = w.id)
+SELECT name, old, new, CASE WHEN old IS NULL THEN 'create' WHEN new IS NULL THEN 'delete' WHEN old = new THEN 'same' WHEN EXISTS (SELECT 1 FROM w WHERE w.tip = u.new AND w.id = u.old) THEN 'forward' ELSE 'forced' END AS kind FROM u""")
+def update_kinds(spark, sf_dir):
+    return refs.update_kinds(P.table(spark, sf_dir, "edges"), P.run(spark, sf_dir, _UPDATES))
+
+
+@_query("""SELECT c_custkey::VARCHAR AS branch, CASE c_nationkey % 3 WHEN 0 THEN 'refs/heads/' || c_mktsegment WHEN 1 THEN 'refs/remotes/origin/' || c_mktsegment || '/x' END AS upstream FROM customer""")
+def upstream_refs(spark, sf_dir):
+    """A branch for each customer; a third follow a local branch, a third one of origin, a third a remote without a rule for it."""
+    rows = P.base(spark, sf_dir, "customer")
+    key = lambda what: F.concat(F.lit("branch."), F.col("c_custkey").cast("string"), F.lit("." + what))
+    kind = F.col("c_nationkey") % 3
+    remote = rows.select(key("remote").alias("key"), F.when(kind == 0, ".").when(kind == 1, "origin").otherwise("other").alias("value"), F.lit(2).alias("ord"))
+    merge = rows.select(key("merge").alias("key"), F.concat(F.lit("refs/heads/"), "c_mktsegment", F.when(kind == 1, "/x").otherwise("")).alias("value"), F.lit(3).alias("ord"))
+    fixed = spark.createDataFrame([("remote.origin.fetch", "+refs/heads/*/x:refs/remotes/origin/*/x", 0), ("remote.origin.fetch", "refs/heads/*:refs/remotes/late/*", 1), ("remote.other.fetch", "refs/heads/main:refs/remotes/other/main", 0)], "key string, value string, ord int")
+    return refs.upstreams(remote.unionByName(remote.withColumns({"value": F.lit("overridden"), "ord": F.lit(1)})).unionByName(merge).unionByName(fixed))
+
+
+@_query("""WITH t AS (SELECT DISTINCT path FROM {trees}), p AS (SELECT path || '/below' AS path FROM t WHERE path LIKE '%/1' UNION SELECT regexp_extract(path, '^[^/]*/[^/]*') FROM t WHERE path LIKE 'Brand#2%' UNION SELECT path || '.new' FROM t)
+SELECT path FROM p WHERE path LIKE '%/below' OR path NOT LIKE '%/%/%'""")
+def killed_paths(spark, sf_dir):
+    """Files below tracked files, files where tracked directories are, and new files, of which none is killed."""
+    tracked = _paths(spark, sf_dir)
+    present = tracked.where("path like '%/1'").select(F.concat("path", F.lit("/below")).alias("path")).unionByName(tracked.where("path like 'Brand#2%'").select(F.substring_index("path", "/", 2).alias("path")).distinct())
+    return trees.killed(present.unionByName(tracked.select(F.concat("path", F.lit(".new")).alias("path"))), tracked)

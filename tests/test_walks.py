@@ -1,6 +1,6 @@
 import pytest
 
-from annalist.operators import history, trees
+from annalist.operators import history, refs, trees
 from annalist.plans import more
 
 SF = "/root/testdata/sf0.001"
@@ -53,6 +53,27 @@ def test_resolved_paths(spark):
     assert got == {(1, "a"): ("tree", None, 2), (1, "a/b"): ("tree", None, 1), (1, "a/b2"): ("blob", "y", 1), (1, "b"): ("missing", None, 0), (2, "a"): ("blob", "z", 1), (3, "a"): ("missing", None, 0)}
 
 
-@pytest.mark.parametrize("name", ["show_branch", "objects_edge", "simplified_by_decoration", "peeled_tags", "tree_paths", "unpack_one_way", "unpack_two_way"])
+@pytest.mark.parametrize("name", ["show_branch", "objects_edge", "simplified_by_decoration", "peeled_tags", "tree_paths", "unpack_one_way", "unpack_two_way", "path_history", "update_kinds", "killed_paths"])
 def test_queries_find_something(spark, name):
     assert not more.QUERIES[name](spark, SF).isEmpty()
+
+
+def test_upstreams_take_the_last_value_and_the_first_rule(spark):
+    rows = [("remote.o.fetch", "+refs/heads/*:refs/remotes/o/*"), ("remote.o.fetch", "refs/heads/*:refs/remotes/late/*"), ("remote.p.fetch", "refs/heads/main:refs/p/main"), ("remote.p.push", "refs/heads/*:refs/q/*"),
+            ("remote.bad.fetch", "refs/heads/main"), ("branch.a.b.remote", "p"), ("branch.a.b.remote", "o"), ("branch.a.b.merge", "refs/heads/x.y/z"), ("branch.m.remote", "p"), ("branch.m.merge", "refs/heads/main"),
+            ("branch.n.remote", "p"), ("branch.n.merge", "refs/heads/other"), ("branch.l.remote", "."), ("branch.l.merge", "refs/heads/main"), ("branch.bad.remote", "bad"), ("branch.bad.merge", "refs/heads/main"), ("branch.half.remote", "o")]
+    config = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rows)], "key string, value string, ord int")
+    assert dict(refs.upstreams(config).collect()) == {"a.b": "refs/remotes/o/x.y/z", "m": "refs/p/main", "n": None, "l": "refs/heads/main", "bad": None}
+
+
+def test_killed_paths(spark):
+    paths = lambda *x: spark.createDataFrame([(p,) for p in x], "path string")
+    got = trees.killed(paths("a/b", "c", "d/e/f", "g", "ab"), paths("a", "c/d/e", "d/x", "g")).collect()
+    assert sorted(r.path for r in got) == ["a/b", "c"]
+
+
+def test_changed_from_parent(spark):
+    files = spark.createDataFrame([(1, "a", "x", 1), (2, "a", "x", 1), (3, "a", "y", 1), (5, "b", "x", 1)], "commit_id long, path string, oid string, mode int")
+    edges = spark.createDataFrame([(2, 1, 0), (3, 2, 0), (4, 3, 0), (5, 4, 0), (5, 1, 1), (6, 5, 0)], "child long, parent long, ord int")
+    commits = spark.createDataFrame([(i,) for i in [1, 2, 3, 4, 5, 6, 7]], "id long")
+    assert sorted(r.id for r in trees.changed_from_parent(files, edges, commits).collect()) == [1, 3, 4, 5, 6]
