@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from annalist.llm import jaccard_join
+from annalist.llm import components, jaccard_join
 
 from . import brute
 
@@ -74,3 +74,18 @@ def test_links_of_a_task_span_and_no_more():
     for percent in (60, 79):
         assert len(jaccard_join.settle(sets, range(800), percent)) <= 799
     assert jaccard_join.settle(sets, [5] * 800, 60) == []
+
+
+def test_components_of_few_edges_cost_few_jobs(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 400)] + [(1000, k) for k in range(1001, 1100)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(500)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    spark.sparkContext.setJobGroup("few", "components in one task")
+    try:
+        one = {r.node: r.root for r in components.components(table).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 8  # rounds of stars: over 20
+    assert one == {r.node: r.root for r in components.components(table, task_edges=0).collect()}
+    assert one[400] == 0 and 0 not in one and one[1099] == 1000
