@@ -5,9 +5,10 @@ gathers up to ``FLUSH`` keys, sorts them by bucket and sends one row a bucket.
 
 1. A bucket's task finds the keys that occur twice.  A task's keys are made unique
    before they are sent, so a key of very many documents weighs one entry a flush.
-2. The blobs, now with document ids, meet the shared keys of their bucket in an
-   equi-join of one row a bucket; a bucket with a hot key is many rows of bounded
-   size, which AQE splits.
+2. The blobs, now with document ids, are dealt by bucket and read after the shared
+   keys of their bucket (``_beside``).  A join would send these keys with each blob,
+   and both grow with the input.  A flush sends a key once a document, so a hot key
+   weighs one entry a document.
 
 Keys are folded to bucket and 48 bits, so a key may be reported that only shares
 its fold; callers verify what they find.
@@ -20,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,34 @@ def _runs(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return buckets[first], np.append(first, len(buckets))
 
 
+def _beside(table: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The rows of ``blobs`` by bucket ``b``, after the row that ``table`` has for the bucket (``head``)."""
+    both = table.withColumn("head", F.lit(True)).unionByName(blobs.withColumn("head", F.lit(False)), allowMissingColumns=True)
+    return both.repartition("b").sortWithinPartitions("b", F.desc("head"))
+
+
+#: Bytes of blobs that meet a table at a time.
+MEET_BYTES = 1 << 20
+
+
+def _met(batches, load: Callable[[pa.RecordBatch], object], column: str):
+    """(bucket, what ``load`` makes of its table's row, blobs with about ``MEET_BYTES`` of ``column``) of the rows of
+    ``_beside``; a table is loaded once, and a bucket without one is left out."""
+    at, have = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        b, head = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("b", "head"))
+        group = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64) // MEET_BYTES
+        new = (b[1:] != b[:-1]) | (head[1:] != head[:-1]) | (group[1:] != group[:-1])
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if head[a]:
+                at, have = b[a], load(batch.slice(a, 1))
+            elif at == b[a]:
+                yield at, have, batch.slice(a, z - a)
+
+
 def _squeeze(x: np.ndarray) -> bytes:
     """Integers as differences, byte planes apart, compressed: about a byte for each of slowly growing ones."""
     steps = np.diff(x, prepend=np.int64(0))
@@ -110,36 +140,34 @@ def shared_keys(rows: DataFrame, emit: Emit, buckets: int) -> DataFrame:
         keys = np.sort(_unpack(b"".join(table.column("raw").to_pylist())))
         keys = np.unique(keys[1:][keys[1:] == keys[:-1]])
         n = 1 if len(keys) else 0
-        return pa.table({"b": table.column("b")[:n], "shared": pa.array([_pack(keys).tobytes()][:n], pa.binary())})
+        return pa.table({"b": table.column("b")[:n], "raw": pa.array([_pack(keys).tobytes()][:n], pa.binary())})
 
     def sent(batches):
         for ids, keys in _flushes(emit, batches, buckets):
             # by bucket, then by document: runs of one id compress well
-            order = np.lexsort((ids, keys >> _HIGH))
+            order = np.lexsort((keys, ids, keys >> _HIGH))
             ids, keys = ids[order], keys[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+            ids, keys = ids[new], keys[new]
             raw = _pack(keys)
             at, cut = _by_bucket(keys)
             spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
             yield pa.record_batch({"b": pa.array(at.astype(np.int32)), "raw": pa.array([raw[a:z].tobytes() for a, z in spans], pa.binary()), "ids": pa.array([ids[a:z].tobytes() for a, z in spans], pa.binary())})
 
     def hits(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = np.uint64(batch.column(0)[i].as_py()) << _HIGH
-                keys, ids = _unpack(batch.column(1)[i].as_py()), np.frombuffer(batch.column(2)[i].as_py(), np.int64)
-                have = _unpack(batch.column(3)[i].as_py())
-                at = np.searchsorted(have, keys)
-                at[at == len(have)] = 0
-                good = have[at] == keys
-                keys, ids = keys[good] | b, ids[good]
-                if not len(keys):
-                    continue
-                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                yield pa.record_batch({"doc_id": pa.array(ids[first]), "keys": pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(keys.view(np.int64)))})
-
-    shared = stored(rows.mapInArrow(seen, "b int, raw binary").groupBy("b").applyInArrow(twice, "b int, shared binary"), "shared-keys")
-    blobs = rows.mapInArrow(sent, "b int, raw binary, ids binary")
-    found = blobs.join(shared, "b").select("b", "raw", "ids", "shared").mapInArrow(hits, "doc_id long, keys array<long>")
+        for b, have, blobs in _met(batches, lambda row: _unpack(row.column("raw")[0].as_py()), "raw"):
+            keys, ids = _unpack(b"".join(blobs.column("raw").to_pylist())), np.frombuffer(b"".join(blobs.column("ids").to_pylist()), np.int64)
+            at = np.searchsorted(have, keys)
+            at[at == len(have)] = 0
+            good = have[at] == keys
+            keys, ids = keys[good] | np.uint64(b) << _HIGH, ids[good]
+            if not len(keys):
+                continue
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            yield pa.record_batch({"doc_id": pa.array(ids[first]), "keys": pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(keys.view(np.int64)))})
+
+    shared = stored(rows.mapInArrow(seen, "b int, raw binary").groupBy("b").applyInArrow(twice, "b int, raw binary"), "shared-keys")
+    found = _beside(shared, rows.mapInArrow(sent, "b int, raw binary, ids binary")).mapInArrow(hits, "doc_id long, keys array<long>")
     return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
 
 
@@ -246,14 +274,16 @@ def first_holders(rows: DataFrame, emit: EmitPlaces, buckets: int) -> DataFrame:
     where that is a place of a smaller document.
 
     The first table holds one packed row a bucket: the first place of each key that several documents have.  A
-    task sends a key once a flush, so a key of very many places weighs one entry a flush.  All places then meet
-    the table in an equi-join of one row a bucket, which AQE splits.
+    task sends a key once a flush, so a key of very many places weighs one entry a flush.  All places are then
+    dealt by bucket and read after its row of the table (``_beside``); a flush sends a key of a place once.
     """
     kind = "b int, keys binary, ids binary, parts binary"
 
     def blobs(ids, parts, keys, *more):
         bucket = ((keys >> _HIGH) % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((parts, ids, bucket))
+        order = np.lexsort((keys, parts, ids, bucket))
+        new = [x[order][1:] != x[order][:-1] for x in (ids, parts, keys)]
+        order = order[np.concatenate([[True], new[0] | new[1] | new[2]])]
         at, cut = _runs(bucket[order])
         spans = [order[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
         columns = {
@@ -294,19 +324,22 @@ def first_holders(rows: DataFrame, emit: EmitPlaces, buckets: int) -> DataFrame:
             yield blobs(*places)
 
     def ask(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                ids, parts, keys = held(row)
-                have = _unpack(row["ref_keys"], PLACE_KEY)
-                order = np.argsort(have)
-                have, ref_ids, ref_parts = have[order], _stretch(row["ref_ids"])[order], _stretch(row["ref_parts"])[order]
-                at = np.searchsorted(have, keys)
-                at[at == len(have)] = 0
-                good = (have[at] == keys) & (ref_ids[at] < ids)
-                found = np.unique(np.stack([ids[good], parts[good], ref_ids[at[good]], ref_parts[at[good]]], axis=1), axis=0)
-                yield pa.record_batch([pa.array(np.ascontiguousarray(found[:, j])) for j in range(4)], ["doc_id", "part", "ref_id", "ref_part"])
+        def load(row):
+            ref_ids, ref_parts, have = held(row.to_pylist()[0])
+            order = np.argsort(have)
+            return have[order], ref_ids[order], ref_parts[order]
+
+        for _, (have, ref_ids, ref_parts), blobs in _met(batches, load, "keys"):
+            ids, parts, keys = (np.concatenate(x) for x in zip(*map(held, blobs.to_pylist()), strict=True))
+            at = np.searchsorted(have, keys)
+            at[at == len(have)] = 0
+            good = (have[at] == keys) & (ref_ids[at] < ids)
+            if not good.any():
+                continue
+            found = np.stack([ids[good], parts[good], ref_ids[at[good]], ref_parts[at[good]]])
+            found = found[:, np.lexsort(found)]
+            found = found[:, np.concatenate([[True], (found[:, 1:] != found[:, :-1]).any(axis=0)])]
+            yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in found], ["doc_id", "part", "ref_id", "ref_part"])
 
     first = stored(rows.mapInArrow(seen, f"{kind}, more0 binary").groupBy("b").applyInArrow(merge, kind), "first-places")
-    first = first.select("b", F.col("keys").alias("ref_keys"), F.col("ids").alias("ref_ids"), F.col("parts").alias("ref_parts"))
-    return rows.mapInArrow(sent, kind).join(first, "b").mapInArrow(ask, "doc_id long, part long, ref_id long, ref_part long").distinct()
+    return _beside(first, rows.mapInArrow(sent, kind)).mapInArrow(ask, "doc_id long, part long, ref_id long, ref_part long").distinct()

@@ -7,7 +7,7 @@ a smaller id.
 1. *Anchors.*  Of the ``k``-word hashes inside each window the smallest is the
    window's anchor, so equal windows have equal anchors and a document has about
    ``2 / (min_words - k + 2)`` anchors a word.  Anchors of a single document are
-   dropped (``shared_keys``: packed, pre-aggregated, AQE splits hot buckets).
+   dropped (``shared_keys``: packed, pre-aggregated).
 2. *Passages.*  Runs of windows whose anchor is shared are cut out.  Their window
    hashes route each passage to the first passage that has the window
    (``first_holders``: packed and pre-aggregated likewise).
@@ -41,7 +41,7 @@ from . import tokens
 from .shared_keys import bucket_count, first_holders, fold, shared_keys
 from .storage import only_near, stored
 
-#: Words of an anchor.
+#: Words of an anchor at least; longer windows have anchors of a third of their words, which few texts share by chance.
 ANCHOR_WORDS = 4
 
 
@@ -226,7 +226,7 @@ def matched_spans(docs: DataFrame, min_words: int = 13) -> DataFrame:
     """(doc_id, th, spans array<struct<start,end>>): half-open word intervals of documents' repeats of earlier documents."""
     if min_words < 1:
         raise ValueError("min_words must be positive")
-    k = min(ANCHOR_WORDS, min_words)
+    k = min(max(ANCHOR_WORDS, min_words // 3), min_words)
     rows = _keyed(docs).where("doc_id is not null and text is not null")
     buckets = bucket_count(docs)
     mine = stored(shared_keys(rows.select("doc_id", "text"), _anchors(min_words, k), buckets), "anchors")

@@ -468,6 +468,53 @@ def test_shared_keys(spark):
     assert got == want
 
 
+def _sent_to_python(df):
+    """Bytes that the plan's last Python node read, after collecting it."""
+    node = df._jdf.queryExecution().executedPlan()
+    while True:
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        elif node.nodeName().startswith("MapInArrow"):
+            return node.metrics().apply("pythonDataSent").value()
+        else:
+            node = node.plan() if "QueryStage" in node.nodeName() else node.children().head()
+
+
+def test_tables_of_buckets_are_sent_once(spark):
+    rng = np.random.default_rng(3)
+    held = [(i, 0, rng.integers(0, 1 << 62, 4000).tolist()) for i in range(8)]
+    rows = [*held, *((8 + i, i % 3, held[i % 8][2][: 6 if i > 7 else None] + [5, 5]) for i in range(64))]
+    want = {(i, p, h, 0) for i, p, k in rows[8:] for h, _, have in held if have[0] == k[0]} | {(i, p, 8, 0) for i, p, _ in rows[9:]}
+    sent = []
+    for tasks in (2, 32):
+        df = spark.createDataFrame(rows, "doc_id long, part long, ks array<long>").repartition(tasks, "doc_id")
+
+        def places(batches):
+            for b in batches:
+                for i, p, ks in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                    yield np.full(len(ks), i), np.full(len(ks), p), np.array(ks, np.uint64)
+
+        got = shared_keys.first_holders(df, places, 3)
+        assert {tuple(r) for r in got.collect()} == want
+        found = shared_keys.shared_keys(df, lambda batches: ((i, k) for i, _, k in places(batches)), 3)
+        assert {r.doc_id for r in found.collect()} == {i for i, _, _ in rows}
+        sent.append([_sent_to_python(x) for x in (got, found)])
+    assert all(many < 2 * few for few, many in zip(*sent, strict=True)), sent
+
+
+def test_long_windows_leave_chance_repeats(spark, monkeypatch):
+    """Short runs of words that texts share by chance send none of them through the automata of 50-word windows."""
+    rng = random.Random(6)
+    plain = [[f"w{rng.randrange(9)}" for _ in range(300)] for _ in range(60)]
+    rows = [*enumerate(" ".join(t) for t in plain), (60, " ".join(plain[7][100:160] + ["x"]))]
+    went = []
+    first_holders = substring_dedup.first_holders
+    monkeypatch.setattr(substring_dedup, "first_holders", lambda words, *a: went.extend(r.doc_id for r in words.collect()) or first_holders(words, *a))
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_digest(frame(spark, rows), 50).collect()}
+    assert {i: n for i, n in got.items() if n} == {60: 60}
+    assert sorted(set(went)) == [7, 60]
+
+
 def test_empty_tables(empty):
     assert substring_dedup.dedup_digest(empty).count() == 0
     assert licenses.license_scan(empty).count() == 0
